@@ -120,3 +120,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def windows(off: np.ndarray, limit: int = 1 << 20):
+    """Ranges of texts of about ``limit`` bytes together (a longer text is alone); one empty range for no texts."""
+    n, a = len(off) - 1, 0
+    if n <= 0:
+        yield 0, 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on, so that texts of a batch take little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

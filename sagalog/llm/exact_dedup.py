@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, text_buffer
+from .common import attach, materialize, small_batches, text_buffer, windows
 
 #: Three primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -87,7 +87,7 @@ def _fingerprint_batches(batches):
     for batch in batches:
         raw, off = text_buffer(batch.column(1))
         raw = lowered(raw)
-        out = fingerprints(raw, off)
+        out = np.concatenate([fingerprints(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in windows(off)])
         view = memoryview(np.ascontiguousarray(raw))
         sha = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -127,6 +127,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sorts below every other.  Repeated ids are counted once per row.  An empty
     table gives an empty result.  Columns other than id and text are not read.
     """
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = ["n_bytes", "f0", "f1"]
     marks = materialize(src.mapInArrow(_fingerprint_batches, "id long, n_bytes long, f0 long, f1 long, sha string"), "marks")
