@@ -7,6 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, in case it is not installed there."""
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="sagalog-"), "sagalog.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("sagalog", os.path.relpath(full, top)))
+    context.addPyFile(path)
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -15,9 +38,37 @@ def tokenizer_file(name: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_components
+
+    found = near_components(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_words
+
+    return mixed_words(_documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = _documents(spark, sf_dir)
+    model = train(docs.where(~held_out()))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -25,10 +76,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import judge
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_archives
 
-    return judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = read_archives(archive(_pages(spark, sf_dir)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,17 +89,33 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(_documents(spark, sf_dir)).select("doc_id", "n_candidates", "n_confirmed", F.array_join("families", ",").alias("families"), "licence", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_exact_dedup": op4_exact_dedup,
-    "op6_token_counts": op6_token_counts,
-    "op7_quality_rules": op7_quality_rules,
-    "op9_packing": op9_packing,
+    f.__name__: f
+    for f in (op1_minhash_near_dedup, op2_mixing, op3_language_id, op4_exact_dedup, op5_warc, op6_token_counts, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_licence_scan)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
