@@ -280,7 +280,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tasks = tasks.select("bucket", "i", "j", "rep", "n", "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = materialize(tasks.mapInArrow(_sketched(percent), "name long, members long, low long, rep long").distinct(), "found")
     wanted = found.select(F.col("rep").alias("doc_id")).distinct()
-    sets = src.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep long, grams binary")
+    # the ids wanted grow with the input, so they are never broadcast
+    sets = src.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, grams binary")
     groups = found.join(sets, "rep").select("name", "members", "low", "rep", "grams").repartition("name", "members", "low").sortWithinPartitions("name", "members", "low")
     links = components(groups.mapInArrow(_confirmed(percent), "a long, b long"))
     several = materialize(several.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("whole")), "copies")
