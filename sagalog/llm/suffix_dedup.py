@@ -1,10 +1,9 @@
 """Removal of repeated byte strings by suffix arrays.
 
 A byte goes when a string of SPAN bytes that covers it also starts earlier (in
-an earlier document, or earlier in the same one).  Whole copies of documents are
-found by digest first.  In the others anchors (see ``_anchors``) cut the strings
-of SPAN bytes into stretches; equal strings always lie in stretches of the same
-anchor.  So only stretches whose anchor occurs with other contents are fetched,
+an earlier document, or earlier in the same one).  Anchors (see ``_anchors``) cut
+the strings of SPAN bytes into stretches; equal strings always lie in stretches
+of the same anchor.  So only stretches whose anchor occurs with other contents are fetched,
 and those that agree on one side of the anchor are put together, a few dozen to
 a text.  The texts' suffix arrays (see ``suffix_groups``) bring equal strings
 next to each other; all but the first go.
@@ -125,11 +124,12 @@ def _fetched(batches):
                 lo, key = part["lo"], part["key"]
                 piece = text[lo : part["hi"] + SPAN]
                 at = int(np.flatnonzero(_anchors._gram_hashes(np.frombuffer(piece, np.uint8)).view(np.int64) == key)[-1])
-                for side, begin in ((0, at - SIDE), (1, at)):
-                    if begin >= 0 and begin + GRAM + SIDE <= len(piece):
+                # strings with at least SIDE bytes before the gram lie in the first part, the others in the second
+                for side, begin, a, b in ((0, at - SIDE, 0, at + GRAM + SIDE), (1, at, max(0, at - SIDE), len(piece))):
+                    if begin >= 0 and begin + GRAM + SIDE <= len(piece) and b - a >= SPAN:
                         grp = (key ^ (zlib.crc32(piece[begin : begin + GRAM + SIDE]) * 0x9E3779B97F4A7C15 + side)) & (1 << 64) - 1
-                        rows.append((grp - (1 << 64) if grp >> 63 else grp, doc, lo, piece))
-                        held += len(piece)
+                        rows.append((grp - (1 << 64) if grp >> 63 else grp, doc, lo + a, piece[a:b]))
+                        held += b - a
             if held > 4 << 20:
                 yield _fetched_rows(rows)
                 rows, held = [], 0
@@ -182,20 +182,35 @@ def _sorted_out(batches):
     texts: list[list[tuple]] = []
     kinds: list[bool] = []
     held = 0
-    for _, rows in _groups(batches):
-        if len(rows) < 2:
+    whole: list[tuple] = []
+    for in_parts, rows in _groups(batches):
+        first: dict[bytes, tuple] = {}
+        for row in rows:
+            if first.setdefault(row[2], row) is not row:  # the same stretch stands earlier
+                whole.append((row[0], row[1], row[1] + len(row[2])))
+        rows = list(first.values())
+        if len(whole) > 20_000:
+            yield _whole_rows(whole)
+            whole = []
+        if len(rows) < 2 and not in_parts:
             continue
         for at in range(0, len(rows), TEXT_STRETCHES):
             texts.append(rows[at : at + TEXT_STRETCHES])
-            kinds.append(len(rows) > TEXT_STRETCHES)
+            kinds.append(in_parts or len(rows) > TEXT_STRETCHES)
             held += sum(len(r[2]) for r in texts[-1])
         if held >= SIDE_BY_SIDE * 4:
             yield from _sort_texts(texts, kinds)
             texts, kinds, held = [], [], 0
+    yield _whole_rows(whole)
     if texts:
         yield from _sort_texts(texts, kinds)
 
 
+def _whole_rows(rows):
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.int64()) for c in cols], pa.nulls(len(rows), pa.binary())], schema=_FOUND)
+
+
 def _groups(batches):
     """Rows (doc, lo, piece) of one group; a group comes in several parts if it is large, overlapping by nothing: parts of at most 64 texts."""
     held: list[tuple] = []
@@ -239,9 +254,11 @@ def _sort_texts(texts, kinds):
 
 def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges of strings of SPAN bytes: those that touch become one."""
+    if not len(doc):
+        return doc, start, start
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)])) if len(doc) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)]))
     last = np.append(new[1:], len(doc)) - 1
     return doc[new], start[new], start[last] + SPAN
 
@@ -275,16 +292,13 @@ def _cut_out(keep_text: bool):
     return run
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks, copies, spans): digests of all documents, ids of whole copies, and (doc, start, stop) to remove in the others."""
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(marks, spans): digests of all documents, and (doc, start, stop) to remove."""
     small_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     marks = _settle(src.mapInArrow(_digested, "doc long, n_bytes long, sha string"), "marks")
-    several = materialize(marks.where(F.col("n_bytes") >= SPAN).groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "several")
-    copies = materialize(attach(marks.where(F.col("n_bytes") >= SPAN), several, ["sha"], "n", "inner").where("doc != first").select("doc").distinct(), "wholes")
-    live = src.join(copies, "doc", "left_anti")
     schema = "key long, content long, doc long, lo long, hi long"
-    stretches = live.mapInArrow(_stretches, schema).repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
+    stretches = src.mapInArrow(_stretches, schema).repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
     decided = _settle(stretches.mapInArrow(_decided, schema), "stretches")
     wanted = decided.where("lo >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("parts"))
     fetched = src.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(_fetched, "grp long, doc long, lo long, piece binary")
@@ -298,7 +312,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         later = loose.select("doc", "start", "stop")
     spans = found.where("mark is null").select("doc", "start", "stop").unionByName(later)
     spans = spans.unionByName(decided.where("lo < 0").select("doc", (-1 - F.col("lo")).alias("start"), (F.col("hi") + SPAN).alias("stop")))
-    return marks, copies, spans
+    return marks, spans
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -309,7 +323,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing; an empty table gives an empty result.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks, copies, spans = removals(df, id_col, text_col)
+    marks, spans = removals(df, id_col, text_col)
     spans = _settle(spans, "spans").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("parts")).withColumnRenamed("doc", "doc_id")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if keep_text else "")
     cut = src.join(spans, "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(keep_text), schema)
@@ -317,10 +331,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cut = _settle(cut, "cut")
     touched = cut.select("doc_id")
     marks = marks.withColumnRenamed("doc", "doc_id")
-    zero, empty = F.lit(0).cast("long"), hashlib.sha256(b"").hexdigest()
-    gone = marks.join(copies.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
-    clean = marks.join(copies.withColumnRenamed("doc", "doc_id").unionByName(touched), "doc_id", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    zero = F.lit(0).cast("long")
+    clean = marks.join(touched, "doc_id", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     if keep_text:
-        gone = gone.withColumn("rest", F.lit(b""))
         clean = clean.join(src, "doc_id").withColumn("rest", F.coalesce("text", F.lit("")).cast("binary")).drop("text")
-    return cut.unionByName(gone).unionByName(clean)
+    return cut.unionByName(clean)
