@@ -138,7 +138,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = materialize(numbered(rows, per), "numbered")
     drawn = slots(materialize(_plan(per), "plan"))
     share = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
-    pieces = share.join(drawn, ["name", "block"])
+    # slots grow with the input although the plan they come from is tiny, so they are never broadcast
+    pieces = share.join(drawn.hint("merge"), ["name", "block"])
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("words"))
     pieces = pieces.where(high > low).select("doc_id", "name", "start", "size", "pass", "shard", "slot", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
