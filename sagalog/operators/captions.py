@@ -27,9 +27,9 @@ def caption_links(lines: DataFrame, key: str, manifest: DataFrame) -> DataFrame:
     ``manifest``: key, page, ord, file.
     """
     captions = lines.withColumn("label", caption_label(F.col("line"))).where(F.col("label").isNotNull() & page_marker(F.col("line")).isNull())
-    captions = captions.withColumn("k", F.row_number().over(W.partitionBy(key, "page").orderBy("line_no")))
-    images = manifest.withColumn("k", F.row_number().over(W.partitionBy(key, "page").orderBy("ord"))).select(key, "page", "k", "file")
-    return captions.join(images, [key, "page", "k"], "left")
+    captions = captions.withColumn("_k", F.row_number().over(W.partitionBy(key, "page").orderBy("line_no")))
+    images = manifest.withColumn("_k", F.row_number().over(W.partitionBy(key, "page").orderBy("ord"))).select(key, "page", "_k", "file")
+    return captions.join(images, [key, "page", "_k"], "left").drop("_k")
 
 
 def link_images(docs: DataFrame, key: str, manifest: DataFrame, folder: str, text: str = "text") -> DataFrame:

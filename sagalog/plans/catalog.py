@@ -474,3 +474,50 @@ def cmyk_to_rgb(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     c = geometry.cmyk_to_rgb(F.col("event_id") % 256, F.col("event_id") * 7 % 256, F.col("event_id") * 13 % 256, F.col("user_id") % 200)
     return e.select("event_id", *[v.alias(k) for k, v in c.items()])
+
+
+# --- documents -------------------------------------------------------------------
+
+
+def _sample_pdfs(spark, sf_dir) -> DataFrame:
+    """One small PDF per customer, written from its lines: two pages of text, panels that touch."""
+    from ..sources.samples import pdf_of
+
+    rows = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+
+    def write(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame({"path": [f"/customers/{k}.pdf" for k in pdf["c_custkey"]], "content": [pdf_of(int(k), str(t)) for k, t in zip(pdf["c_custkey"], pdf["c_mktsegment"], strict=True)]})
+
+    return rows.mapInPandas(write, "path string, content binary")
+
+
+@query("SELECT '/customers/' || CAST(c_custkey AS VARCHAR) || '.pdf' AS path, CAST(p AS INTEGER) AS page, CASE p WHEN 1 THEN 'Order ' || CAST(c_custkey AS VARCHAR) || chr(10) || 'priority ' || c_mktsegment ELSE 'Figure ' || CAST(c_custkey AS VARCHAR) || '-1. Panels' END AS text FROM customer, (VALUES (1), (2)) AS v(p)")
+def pdf_pages(spark, sf_dir):
+    from ..sources.pdfs import pdf_pages as read
+
+    return read(_sample_pdfs(spark, sf_dir)).select("path", "page", "text")
+
+
+@query("""SELECT '/customers/' || CAST(c_custkey AS VARCHAR) || '.pdf' AS path, 2 AS page, 'Im0+Im1' AS name, 4 AS width, 4 AS height, 'stitched' AS colorspace,
+    10.0e0 AS bbox_x, 20.0e0 AS bbox_y, 100.0e0 AS bbox_w, 100.0e0 AS bbox_h FROM customer WHERE c_custkey % 10 = 0
+    UNION ALL SELECT '/customers/' || CAST(c_custkey AS VARCHAR) || '.pdf', 2, n, 4, 2, 'DeviceGray', 10.0e0, CASE n WHEN 'Im0' THEN 70.0e0 ELSE 0.0e0 END, 100.0e0, 50.0e0
+    FROM customer, (VALUES ('Im0'), ('Im1')) AS v(n) WHERE c_custkey % 10 <> 0""")
+def pdf_images(spark, sf_dir):
+    """Two panels a document; in every tenth they touch and are stitched."""
+    from ..sources.pdfs import pdf_images as read
+    from ..sources.pdfs import stitched_images
+
+    found = stitched_images(read(_sample_pdfs(spark, sf_dir)))
+    return found.select("path", "page", "name", "width", "height", "colorspace", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) || '-p0002-' || n || '.png' AS file, 2 AS page, n AS name, 4 AS width, 2 AS height, 8 AS bpc, 'DeviceGray' AS colorspace, 'FlateDecode' AS filter,
+    '10.00' AS bbox_x, CASE WHEN n = 'Im0' THEN '70.00' WHEN c_custkey % 10 = 0 THEN '20.00' ELSE '0.00' END AS bbox_y, '100.00' AS bbox_w, '50.00' AS bbox_h FROM customer, (VALUES ('Im0'), ('Im1')) AS v(n)""")
+def image_manifest(spark, sf_dir):
+    from ..sources.pdfs import image_manifest as rows
+    from ..sources.pdfs import pdf_images as read
+
+    return rows(read(_sample_pdfs(spark, sf_dir))).drop("path", "ord")

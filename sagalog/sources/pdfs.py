@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,46 +23,57 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_FILE).select("path", "content")
 
 
-def _pages(frames):
-    for pdf in frames:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            try:
-                rows += [(path, i, text, None) for i, text in enumerate(page_texts(Document(bytes(content))), 1)]
-            except Exception as e:  # a hostile file is an error row, not a lost task
-                rows.append((path, None, None, str(e) or type(e).__name__))
-        yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
+def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _files(batches):
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            yield path.as_py(), content.as_py()
+
+
+def _pages(batches):
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+    for path, content in _files(batches):
+        try:
+            rows = [{"path": path, "page": i, "text": text.encode("utf-8", "replace").decode()} for i, text in enumerate(page_texts(Document(content)), 1)]
+        except Exception as e:  # a hostile file is an error row, not a lost task
+            rows = [{"path": path, "error": str(e) or type(e).__name__}]
+        yield _rows(rows, schema)
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
     """(path, page, text, error); a file that can't be read is one row with its error."""
-    return files.select("path", "content").mapInPandas(_pages, PAGES)
+    return files.select("path", "content").mapInArrow(_pages, PAGES)
 
 
 _COLUMNS = [c.split()[0] for c in IMAGES.split(", ")]
 
 
-def _images(frames):
-    for pdf in frames:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows, n = [], 0
-            try:
-                doc = Document(bytes(content))
-                for i, page in enumerate(doc.pages(), 1):
-                    found, skipped = page_images(doc, page)
-                    for row in found:
-                        rows.append({"path": path, "page": i, "ord": n} | row)
-                        n += 1
-                    rows += [{"path": path, "page": i, "error": why} for why in skipped]
-            except Exception as e:
-                rows.append({"path": path, "error": str(e) or type(e).__name__})
-            whole = {"page": "Int32", "ord": "Int64", "width": "Int32", "height": "Int32", "bpc": "Int32"}
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype(whole)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _images(batches):
+    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in IMAGES.split(", ")])
+    for path, content in _files(batches):
+        rows, n = [], 0
+        try:
+            doc = Document(content)
+            for i, page in enumerate(doc.pages(), 1):
+                found, skipped = page_images(doc, page)
+                for row in found:
+                    rows.append({"path": path, "page": i, "ord": n} | row)
+                    n += 1
+                rows += [{"path": path, "page": i, "error": why} for why in skipped]
+        except Exception as e:
+            rows.append({"path": path, "error": str(e) or type(e).__name__})
+        yield _rows(rows, schema)
 
 
 def pdf_images(files: DataFrame) -> DataFrame:
     """One row per image; images and files that were skipped are rows with an error and no data."""
-    return files.select("path", "content").mapInPandas(_images, IMAGES)
+    return files.select("path", "content").mapInArrow(_images, IMAGES)
 
 
 def stitched_images(images: DataFrame, tol: float = TOLERANCE) -> DataFrame:
@@ -70,13 +82,17 @@ def stitched_images(images: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     The bytes stay out of the grouping: they join again by (path, page, ord).
     """
     good = images.where("error is null")
-    boxes = good.drop("data")
+    # read three times below: the boxes alone are kept, so that files are parsed twice at most
+    boxes = good.drop("data").persist()
     keys = ["path", "page"]
     groups = figures(boxes, keys, tol).where("n_parts > 1").select(*keys, "group_id", "layout", "stitched_name", F.col("bbox_x").alias("gx"), F.col("bbox_y").alias("gy"), F.col("bbox_w").alias("gw"), F.col("bbox_h").alias("gh"), F.col("width").alias("w"), F.col("height").alias("h"))
     member = group_panels(boxes, keys, tol).select(*keys, "ord", "group_id")
     whole = good.join(member, [*keys, "ord"]).join(groups, [*keys, "group_id"], "left")
     single = whole.where("layout is null").select(*_COLUMNS)
 
+    def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.astype({c.split()[0]: object for c in IMAGES.split(", ") if c.split()[1] in ("string", "binary")})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         down = pdf["layout"].iloc[0] == "vertical"
         pdf = pdf.sort_values(["bbox_y" if down else "bbox_x", "ord"], ascending=[not down, True], kind="stable")
@@ -84,9 +100,9 @@ def stitched_images(images: DataFrame, tol: float = TOLERANCE) -> DataFrame:
         try:
             data = stitch([bytes(x) for x in pdf["data"]], first["layout"])
         except Exception:
-            return pdf[_COLUMNS]
+            return plain(pdf[_COLUMNS])
         row = {c: first[c] for c in _COLUMNS} | {"name": first["stitched_name"], "width": first["w"], "height": first["h"], "bpc": 8, "colorspace": "stitched", "filter": "stitched", "ext": "png", "data": data, "bbox_x": first["gx"], "bbox_y": first["gy"], "bbox_w": first["gw"], "bbox_h": first["gh"]}
-        return pd.DataFrame([row], columns=_COLUMNS)
+        return plain(pd.DataFrame([row], columns=_COLUMNS))
 
     return single.unionByName(whole.where("layout is not null").groupBy(*keys, "group_id").applyInPandas(run, IMAGES))
 
