@@ -119,18 +119,21 @@ def _chunk_rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["n_bytes", "f0", "f1", "no", "piece"])
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62) -> DataFrame:
     """(id, keep_id, group_size, sha) of every row; the row with the largest id of equal texts stays.
 
     Texts are equal when identical after lower-casing A-Z only; a null text
     counts as empty, so all null and empty texts are one group.  A null id
     sorts below every other.  Repeated ids are counted once per row.  An empty
     table gives an empty result.  Columns other than id and text are not read.
+    Fewer ``bits`` make fingerprints collide more often; the result is the same.
     """
     small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = ["n_bytes", "f0", "f1"]
-    marks = materialize(src.mapInArrow(_fingerprint_batches, "id long, n_bytes long, f0 long, f1 long, sha string"), "marks")
+    mask = F.lit((1 << bits) - 1)
+    marks = src.mapInArrow(_fingerprint_batches, "id long, n_bytes long, f0 long, f1 long, sha string")
+    marks = materialize(marks.withColumns({f: F.col(f).bitwiseAND(mask) for f in ("f0", "f1")}), "marks")
     several = materialize(marks.groupBy(*key).agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1"), "several")
     members = attach(marks.select("id", *key), several.select(*key, "n"), key, "n", "inner").select("id", *key).distinct()
     text = members.join(src, "id").select(*key, "text").mapInArrow(_chunk_batches, "n_bytes long, f0 long, f1 long, no int, piece binary")

@@ -89,6 +89,7 @@ class Model:
         known = [np.unique(np.concatenate([np.zeros(0, np.uint64), *[c & np.uint64((1 << (16 * n)) - 1) for c, _ in per_language.values()]])) for n in range(1, order + 1)]
         width = len(self.languages)
         self.floor = -np.log(max(2, len(known[0]) + 1))  # uniform over the characters seen and one for the rest
+        self.unseen = np.full(width, self.floor)
         self.levels = [(k, np.full((len(k), width), -np.inf), np.zeros((len(k), width))) for k in known]
         for j, lang in enumerate(self.languages):
             code, count = per_language[lang]
@@ -116,10 +117,9 @@ class Model:
                     fall = lower[np.searchsorted(self.levels[n - 2][0], table & np.uint64((1 << (16 * (n - 1))) - 1))]
                     logp[:, j] = fall + np.where(has, self.levels[n - 2][2][np.minimum(prefix, len(self.levels[n - 2][0]) - 1), j], 0.0)
                 else:
-                    logp[:, j] = self.floor + (np.log(weight[0]) if len(weight) else 0.0)
+                    logp[:, j] = self.unseen[j] = self.floor + (np.log(weight[0]) if len(weight) else 0.0)
                 logp[mine, j] = np.log(p)
                 lower = logp[:, j]
-        self.unseen = np.array([self.floor] * width)
         self.levels = [(k, a.astype(np.float32), b.astype(np.float32)) for k, a, b in self.levels]
 
     def _find(self, n: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -164,8 +164,8 @@ def mixed_documents(df: DataFrame, text_col: str = "text", source_col: str = "so
     there, is counted anew.  Ids are expected to be unique here.
     """
     docs, pieces, _ = mix(df, text_col=text_col, source_col=source_col)
-    own = pieces.groupBy("doc_id", "pass").agg(F.sum("words").alias("_words"), F.max("size").alias("_size"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
-    both = df.join(own, "doc_id").withColumnRenamed(text_col, "_text")
+    own = pieces.groupBy("doc_id", F.col("pass").alias("_pass")).agg(F.sum("words").alias("_words"), F.max("size").alias("_size"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
+    both = df.join(own, "doc_id").drop("_pass").withColumnRenamed(text_col, "_text")
     both = both.withColumn("_tokens", F.when(F.col("_words") < F.col("_size"), F.regexp_extract_all("_text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)))
     cut = both.withColumn(text_col, F.expr("if(_words = _size, _text, array_join(flatten(transform(_parts, p -> slice(_tokens, cast(p.from_word + 1 as int), cast(p.words as int)))), ''))"))
     if "n_chars" in df.columns:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES as ORACLES
+
 _SHIPPED: set[str] = set()
 
 
@@ -117,13 +119,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_minhash_near_dedup, op2_mixing, op3_language_id, op4_exact_dedup, op5_warc, op6_token_counts, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_licence_scan)
 }
-
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLES: dict[str, str] = {
-    "op4_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-        FROM d""",
-}
