@@ -152,19 +152,15 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     stats = materialize(stats.withColumns(_transformed()), "stats")
     k0, k1 = F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang"))
     keyed = stats.where("not base_failed").select(*FEATURES, F.explode(F.array(k0, k1, F.lit("all"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_GROUP)
     rows = keyed
     est = materialize(_start(rows).where(F.col("n") >= MIN_GROUP), "estimates")
     for _ in range(STEPS):
         est = materialize(_step(rows, est), "estimates")
-    del sizes
     counts = stats.groupBy(k0.alias("k0"), k1.alias("k1")).agg(F.count("*").alias("n0"))
-    have = est.withColumnsRenamed({"n": "n_key"})
-    level0 = counts.join(have.withColumnRenamed("key", "k0"), "k0", "left")
-    first = level0.where(F.col("n_key").isNotNull()).drop("k1")
-    second = level0.where(F.col("n_key").isNull()).select("k0", "k1", "n0").join(have.withColumnRenamed("key", "k1"), "k1", "left")
-    third = second.where(F.col("n_key").isNull()).select("k0", "n0", F.lit("all").alias("key")).join(have, "key", "left")
-    own = materialize(first.unionByName(second.where(F.col("n_key").isNotNull()).drop("k1")).unionByName(third.drop("key")), "own")
+    params = [c for c in est.columns if c[0] in "ml"]
+    options = counts.select("k0", "n0", F.posexplode(F.array("k0", "k1", F.lit("all"))).alias("level", "key")).join(est.drop("n"), "key")
+    own = options.groupBy("k0", "n0").agg(F.min_by(F.struct(*params), "level").alias("p"))
+    own = materialize(own.select("k0", "n0", "p.*"), "own")
     out = attach(stats.withColumn("k0", k0), own, ["k0"], "n0").withColumn("distance2", _distance2())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
