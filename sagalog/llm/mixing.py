@@ -31,7 +31,7 @@ ROUNDS = 16
 #: Blocks of an output shard, on average.
 SHARD_BLOCKS = 1024
 #: Documents of a run of the numbering, on average.
-RUN_DOCS = 4096
+RUN_DOCS = 512
 #: Slots that one row makes.
 SLOT_CHUNK = 10_000
 
