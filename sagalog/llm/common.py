@@ -16,12 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1 / 200
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session has none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share; one of our own only where the session names none (tests, one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sagalog-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="sagalog-")
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
