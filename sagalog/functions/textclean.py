@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import InvalidArgument
+from ..model import BadArguments
 
 #: White space as the reference dialect has it (no vertical tab), word characters, the en dash.
 WS = r"[\t\n\f\r ]"
@@ -104,16 +104,16 @@ def page_range(page: int | None = None, pages: str | None = None) -> tuple[int,
     """(from, to) of a page argument, None for all pages; ``page`` wins over ``pages`` ("N" or "N-M")."""
     if page:
         if page < 1:
-            raise InvalidArgument(f"page must be at least 1, got {page}")
+            raise BadArguments(f"page must be at least 1, got {page}")
         return page, page
     if not pages:
         return None
     found = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", pages)
     if not found:
-        raise InvalidArgument(f"invalid page range {pages!r}")
+        raise BadArguments(f"invalid page range {pages!r}")
     first, last = int(found[1]), int(found[2] or found[1])
     if first < 1 or last < first:
-        raise InvalidArgument(f"invalid page range {pages!r}")
+        raise BadArguments(f"invalid page range {pages!r}")
     return first, last
 
 

@@ -64,6 +64,10 @@ class InvalidArgument(EngineError):
     code, status = "validation_failed", 400
 
 
+class BadArguments(InvalidArgument):
+    code = "schema_violation"
+
+
 @dataclass(frozen=True)
 class MessageFilter:
     """Conjunction of equalities; empty values are unset; limit 0 is no limit."""

@@ -39,6 +39,10 @@ def hook_error(types: TypeRegistry) -> Column:
     return out
 
 
+def size_error(content: Column, most: int = MAX_MESSAGE_BODY) -> Column:
+    return F.when(F.octet_length(content) > most, F.lit(f"content is larger than {most} bytes"))
+
+
 def checked(batch: DataFrame, sessions: DataFrame, types: TypeRegistry, roles: list[str] | None = None) -> DataFrame:
     """``batch`` with ``error``: size, role, type, schema, hook, then unknown session; null for rows to accept.
 
@@ -48,8 +52,7 @@ def checked(batch: DataFrame, sessions: DataFrame, types: TypeRegistry, roles: l
     for name in ("sender_id", "subject_id", "metadata"):
         if name in batch.columns:
             batch = batch.withColumn(name, F.nullif(F.col(name), F.lit("")))
-    size = F.when(F.octet_length("content") > MAX_MESSAGE_BODY, F.lit(f"content is larger than {MAX_MESSAGE_BODY} bytes"))
     known = sessions.select(F.col("id").alias("session_id")).distinct().withColumn("_known", F.lit(True))
     out = batch.join(known, "session_id", "left")
     unknown = F.when(F.col("_known").isNull(), F.concat(F.lit("session "), F.coalesce("session_id", F.lit("")), F.lit(" does not exist")))
-    return out.withColumn("error", F.coalesce(size, role_error(roles or []), type_error(types), content_error(types), hook_error(types), unknown)).drop("_known")
+    return out.withColumn("error", F.coalesce(size_error(F.col("content")), role_error(roles or []), type_error(types), content_error(types), hook_error(types), unknown)).drop("_known")

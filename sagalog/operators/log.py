@@ -77,6 +77,10 @@ def admit_sessions(sessions: DataFrame, candidates: DataFrame, cap: int) -> Data
     return candidates.join(taken.withColumn("admitted", F.lit(True)), "id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
+def with_status(sessions: DataFrame, session_id: str, status: str) -> DataFrame:
+    return sessions.withColumn("status", F.when(F.col("id") == session_id, F.lit(status)).otherwise(F.col("status")))
+
+
 def delete_cascade(sessions: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the sessions in ``gone`` (column id); unknown ids do nothing."""
     ids = gone.select("id").distinct()

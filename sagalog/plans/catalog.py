@@ -313,6 +313,24 @@ def registered_types_sorted(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in types.names()], "name string")
 
 
+@query("SELECT * FROM (VALUES ('create_session'), ('deposit_message'), ('get_latest_message'), ('get_messages'), ('get_session'), ('list_sessions'), ('list_tasks'), ('pdf_clean_text'), ('pdf_extract_images'), ('pdf_extract_pages'), ('pdf_extract_text')) AS t(name)")
+def tool_registry_sorted(spark, sf_dir):
+    from .tools import SCHEMAS
+
+    return spark.createDataFrame([(n,) for n in sorted(SCHEMAS)], "name string")
+
+
+@query(f"SELECT id, target, CASE WHEN id = '7' THEN 'paused' ELSE status END AS status FROM ({V.SESSIONS_SQL}) s")
+def update_session_status(spark, sf_dir):
+    return log.with_status(V.sessions(spark, sf_dir), "7", "paused").select("id", "target", "status")
+
+
+@query("SELECT conv_id, turn, strlen(text) > 600 AS too_large FROM conversations")
+def deposit_body_cap(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", ingest.size_error(F.col("text"), 600).isNotNull().alias("too_large"))
+
+
 # --- text -----------------------------------------------------------------------
 
 _W = r"[\p{L}\p{N}]"

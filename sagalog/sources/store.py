@@ -114,8 +114,7 @@ class MessageStore:
 
     def set_status(self, ident: str, status: str) -> None:
         self.get_session(ident)
-        rows = self.sessions.withColumn("status", F.when(F.col("id") == ident, F.lit(status)).otherwise(F.col("status")))
-        self._commit(self._state() | {"sessions": [self._segment("sessions", rows)]})
+        self._commit(self._state() | {"sessions": [self._segment("sessions", log.with_status(self.sessions, ident, status))]})
 
     def delete_session(self, ident: str) -> None:
         """Session and its messages; an unknown id is no error."""
