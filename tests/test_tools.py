@@ -60,3 +60,26 @@ def test_document_tools(engine, tmp_path):
     assert [r["name"] for r in single] == ["Im0", "Im1"]
     (tmp_path / "b.pdf").write_bytes(b"junk")
     assert engine.call("pdf_extract_pages", {"path": str(tmp_path / "b.pdf")}).error["code"] == "internal_error"
+
+
+def test_routes(spark, tmp_path):
+    from sagalog.plans.routes import Routes
+
+    routes = Routes(Engine(spark, MessageStore(spark, str(tmp_path), roles=["agent"], session_cap=1)))
+    ask = routes.request
+    assert ask("GET", "/api/sessions") == (200, [])
+    status, session = ask("POST", "/api/sessions", body=b'{"target":"x"}')
+    assert status == 201 and ask("POST", "/api/sessions", body=b'{"target":"y"}')[0] == 503
+    assert [ask("POST", "/api/sessions", body=b)[0] for b in (b"[]", b"{", b"{}", b'{"target":"' + b"x" * 5000 + b'"}')] == [400] * 4
+    home = f"/api/sessions/{session['id']}"
+    assert ask("GET", home)[1]["target"] == "x" and ask("GET", "/api/sessions/none")[0] == 404
+    assert ask("GET", home + "/messages") == (200, []) and ask("GET", home + "/messages/latest")[0] == 404
+    message = {"role": "agent", "type": "task", "content": {"title": "t", "status": "new"}, "subject_id": "S"}
+    assert ask("POST", home + "/messages", body=json.dumps(message).encode())[0] == 201
+    assert ask("GET", home + "/messages", {"format": "raw"})[1] == message["content"] == ask("GET", home + "/messages/latest", {"format": "raw"})[1]
+    assert ask("POST", home + "/messages", body=json.dumps(message | {"role": "x"}).encode())[0] == 400
+    assert ask("POST", home + "/messages", body=b'{"role":"agent"}')[0] == 400
+    assert ask("POST", "/api/sessions/none/messages", body=json.dumps(message).encode())[0] == 400
+    assert ask("GET", "/api/messages")[0] == 400 and ask("GET", "/api/messages", {"subject_id": "S", "format": "raw"})[1][0]["subject_id"] == "S"
+    assert ask("GET", "/api/messages/latest", {"subject_id": "S", "limit": "x"})[1]["session_id"] == session["id"]
+    assert ask("DELETE", home) == (204, None) == ask("DELETE", home) and ask("GET", "/api/nothing")[0] == 404
