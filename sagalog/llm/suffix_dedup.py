@@ -34,6 +34,8 @@ SIDE = (SPAN - GRAM) // 2
 #: Stretches of one text, and bytes of the texts that are sorted side by side.
 TEXT_STRETCHES = 32
 SIDE_BY_SIDE = 600_000
+#: A key with this many contents in one batch has others for certain; a key with more stretches than the second is cut into groups of about that size.
+SURE_CONTENTS, GROUP_STRETCHES = 8, 2048
 _ROWS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
@@ -54,7 +56,13 @@ def _digested(batches):
 
 
 def _stretches(batches):
-    """Stretches with their anchor's key; lo = -1 - lo marks one whose content stands earlier in the batch."""
+    """Stretches with their anchor's key.
+
+    lo = -1 - lo marks one whose content stands earlier in the batch.  hi =
+    -1 - hi marks one whose key has many contents in the batch: it needs no
+    meeting to be known as wanted, so a very common anchor does not gather its
+    rows in one task; ``content`` then holds the key.
+    """
     for batch in batches:
         raw, off = text_buffer(batch.column(1))
         docs = batch.column(0).to_numpy(zero_copy_only=False)
@@ -70,8 +78,15 @@ def _stretches(batches):
         key, content, doc, lo, hi = key[order], content[order], doc[order], lo[order], hi[order]
         again = np.concatenate([[False], (key[1:] == key[:-1]) & (content[1:] == content[:-1])])
         # a folded row needs no meeting; its key is only there to spread the rows
-        key = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(1 << 20) + lo.astype(np.uint64)), key)
-        lo = np.where(again, -1 - lo, lo)
+        spread = mix64(doc.astype(np.uint64) * np.uint64(1 << 20) + lo.astype(np.uint64))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group, nth = np.cumsum(new) - 1, np.cumsum(~again)
+        nth = nth - nth[np.flatnonzero(new)][group]
+        # two contents still go to the meeting, so that any other row of the key finds one that differs
+        sure = ~again & (np.bincount(group, ~again)[group] >= SURE_CONTENTS) & (nth >= 2)
+        content = np.where(sure, key, content)
+        key = np.where(again | sure, spread, key)
+        lo, hi = np.where(again, -1 - lo, lo), np.where(sure, -1 - hi, hi)
         for at in range(0, len(key), 50_000):
             cut = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[cut].view(np.int64), content[cut].view(np.int64), doc[cut], lo[cut], hi[cut])], schema=_ROWS)
@@ -91,8 +106,12 @@ def _decided(batches):
         if gone.any():
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(gone)) for c in batch.columns], schema=_ROWS)
             key, content, doc, lo, hi = (x[~gone] for x in (key, content, doc, lo, hi))
-            if not len(key):
-                continue
+        sure = hi < 0
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[sure]) for x in (content, content, doc, lo, -1 - hi)], schema=_ROWS)
+            key, content, doc, lo, hi = (x[~sure] for x in (key, content, doc, lo, hi))
+        if not len(key):
+            continue
         same_key = np.concatenate([[prev_key is not None and key[0] == prev_key], key[1:] == key[:-1]])
         same = same_key & np.concatenate([[prev_content is not None and content[0] == prev_content], content[1:] == content[:-1]])
         if same.any():
@@ -128,7 +147,8 @@ def _fetched(batches):
                 for side, begin, a, b in ((0, at - SIDE, 0, at + GRAM + SIDE), (1, at, max(0, at - SIDE), len(piece))):
                     if begin >= 0 and begin + GRAM + SIDE <= len(piece) and b - a >= SPAN:
                         grp = (key ^ (zlib.crc32(piece[begin : begin + GRAM + SIDE]) * 0x9E3779B97F4A7C15 + side)) & (1 << 64) - 1
-                        rows.append((grp - (1 << 64) if grp >> 63 else grp, doc, lo + a, piece[a:b]))
+                        grp = (grp + part["own"] * 0xD1B54A32D192ED03) & (1 << 64) - 1
+                        rows.append((grp - (1 << 64) if grp >> 63 else grp, part["cut"], doc, lo + a, piece[a:b]))
                         held += b - a
             if held > 4 << 20:
                 yield _fetched_rows(rows)
@@ -137,8 +157,8 @@ def _fetched(batches):
 
 
 def _fetched_rows(rows):
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["grp", "doc", "lo", "piece"])
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["grp", "cut", "doc", "lo", "piece"])
 
 
 def repeated_starts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,11 +236,11 @@ def _groups(batches):
     held: list[tuple] = []
     at, long_group = None, False
     for batch in batches:
-        for grp, doc, lo, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for grp, cut, doc, lo, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if grp != at:
                 if held:
                     yield long_group, held
-                held, at, long_group = [], grp, False
+                held, at, long_group = [], grp, cut
             held.append((doc, lo, piece))
             if len(held) >= 64 * TEXT_STRETCHES + 1:
                 # kept longer than one text, so the parts are known to belong to a cut group
@@ -300,8 +320,12 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     schema = "key long, content long, doc long, lo long, hi long"
     stretches = src.mapInArrow(_stretches, schema).repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
     decided = _settle(stretches.mapInArrow(_decided, schema), "stretches")
-    wanted = decided.where("lo >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("parts"))
-    fetched = src.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(_fetched, "grp long, doc long, lo long, piece binary")
+    some = decided.where("lo >= 0").select("key", "doc", "lo", "hi")
+    heavy = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_STRETCHES), "heavy")
+    some = attach(some, heavy, ["key"], "n")
+    own = F.coalesce(F.pmod(F.xxhash64("doc", "lo"), F.ceil(F.col("n") / GROUP_STRETCHES)), F.lit(0))
+    wanted = some.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "key", own.cast("long").alias("own"), F.col("n").isNotNull().alias("cut"))).alias("parts"))
+    fetched = src.join(wanted.hint("merge"), "doc").select("doc", "text", "parts").mapInArrow(_fetched, "grp long, cut boolean, doc long, lo long, piece binary")
     found = _settle(fetched.repartition("grp").sortWithinPartitions("grp", "doc", "lo").mapInArrow(_sorted_out, "doc long, start long, stop long, mark binary"), "found")
     # strings of groups that were cut: the first of each digest stays
     loose = found.where("mark is not null")

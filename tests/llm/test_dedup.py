@@ -231,7 +231,9 @@ def test_repeats_random(spark):
 def test_cut_groups_meet_by_digest(spark, monkeypatch, n):
     import sagalog.llm.suffix_dedup as sd
 
+    # the workers read these from the closure's module only where they are forked later, so the plan's own bound is lowered too
     monkeypatch.setattr(sd, "TEXT_STRETCHES", n)
+    monkeypatch.setattr(sd, "GROUP_STRETCHES", 10 * n)
     passage = "".join(np.random.default_rng(9).choice(list("abcdefghij "), 130))
     texts = {i: str(i) * 12 + passage + str(i * 7) * 12 for i in range(90)}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.remove_repeats(frame(spark, texts)).collect()}
