@@ -31,39 +31,49 @@ def adjacent_pairs(images: DataFrame, keys: list[str], tol: float = TOLERANCE) -
     return found[0].unionByName(found[1])
 
 
-def _component(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i, j in zip(pdf["i"], pdf["j"], strict=True):
-            a, b = find(int(i)), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        nodes = sorted(root)
-        out = pd.DataFrame({"ord": nodes, "group_id": [find(x) for x in nodes]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "ord", "group_id"]]
+def _joined(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(panel, smallest panel of its group) for every panel in a link."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in sorted(root)]
+
+
+def _components(keys: list[str]):
+    """Links sorted by page in, panels with their group out; only one page's links are held at a time."""
+
+    def run(frames):
+        at, links = None, []
+        for pdf in frames:
+            rows = []
+            for *key, i, j in zip(*[pdf[c].tolist() for c in [*keys, "i", "j"]], strict=True):
+                if key != at:
+                    rows += [(*at, *r) for r in _joined(links)] if at is not None else []
+                    at, links = key, []
+                links.append((i, j))
+            yield pd.DataFrame(rows, columns=[*keys, "ord", "group_id"])
+        if at is not None:
+            yield pd.DataFrame([(*at, *r) for r in _joined(links)], columns=[*keys, "ord", "group_id"])
 
     return run
 
 
 def group_panels(images: DataFrame, keys: list[str], tol: float = TOLERANCE) -> DataFrame:
-    """``images`` with group_id (smallest ``ord`` of the group) per page.
-
-    Only pages with adjacent panels go through the grouped union-find; it sees
-    the links of one page, so a group is as large as a page, not as the table.
-    """
+    """``images`` with group_id (smallest ``ord`` of the group) per page; only adjacent panels go through the union-find."""
     links = adjacent_pairs(images, keys, tol)
     types = dict(images.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ord long, group_id long"
-    linked = links.select(*keys, F.col("i").cast("long"), F.col("j").cast("long")).groupBy(*keys).applyInPandas(_component(keys), schema)
+    ordered = links.select(*keys, F.col("i").cast("long"), F.col("j").cast("long")).repartition(*keys).sortWithinPartitions(*keys)
+    linked = ordered.mapInPandas(_components(keys), schema)
     return images.join(linked.withColumnRenamed("ord", "_ord"), [*[images[k] == linked[k] for k in keys], images["ord"] == F.col("_ord")], "left").select(*[images[c] for c in images.columns], F.coalesce("group_id", images["ord"].cast("long")).alias("group_id"))
 
 
