@@ -14,7 +14,8 @@ from sagalog.llm.mixing import mixed_documents
 from sagalog.llm.near_dedup import near_dedup
 from sagalog.llm.packing import pack
 from sagalog.llm.quality import quality_filter
-from sagalog.llm.queries import ship, tokenizer_file
+from sagalog.llm.queries import tokenizer_file
+from sagalog.plans.cluster import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
