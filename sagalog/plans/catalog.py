@@ -501,7 +501,8 @@ def _sample_pdfs(spark, sf_dir) -> DataFrame:
     """One small PDF per customer, written from its lines: two pages of text, panels that touch."""
     from ..sources.samples import pdf_of
 
-    rows = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    # writing and parsing files is the work here, so the few rows are dealt to all cores
+    rows = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
 
     def write(frames):
         import pandas as pd
