@@ -5,8 +5,10 @@ on the driver with a fixed seed: examples are the templates, parts of them and
 sentences about other things.  A held-out part of the examples sets the
 temperature, so that the class "unknown" is calibrated.  The main path is one
 projection of DataFrame functions, without any shuffle: texts are cut into
-sentences, those with a cue word are scored, and a prediction stands only if
-the sentence also shares enough word pairs with a template of that family.
+sentences, once line by line and once with the wrapped lines of a paragraph
+joined, and a prediction stands only if the sentence also shares enough word
+pairs with a template of that family.  So a sentence without any word pair of
+the templates can't stand, and only those are left out unscored.
 """
 
 from __future__ import annotations
@@ -116,8 +118,10 @@ OTHER = [
     "No part of the city was without water during the repair.",
     "The author published the work under a false name.",
 ]
-#: A sentence without any of these is unknown; every template has one.
+#: A sentence with one of these is reported even if it grants nothing; every template has one.
 CUES = r"licen[cs]|copyright|all rights reserved|public domain|redistribut|permission|proprietary|mozilla public|warrant"
+PARAGRAPH = r"\n[\x20\x09]*\n\s*"
+WRAP = r"(?<!\n)\n(?!\n)"
 SENTENCE = r"\n+|(?<=[.!?])[\x20\x09]+(?=\p{Lu})"
 TOKEN = r"[\p{L}\p{N}]+"
 #: Least probability, and least share of a template's or the sentence's word pairs, for a prediction to stand.
@@ -195,12 +199,14 @@ def _pairs(words: list[str]) -> list[str]:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_candidates, n_confirmed, families, licence, confidence and matches.
 
-    ``matches`` holds sentence, family, probability and overlap of every cue
-    sentence; ``families`` the confirmed families in code point order;
-    ``licence`` the confirmed family of the highest probability (ties: first by
-    name), ``unknown`` if none is confirmed but a sentence had a cue, else
-    ``none``.  A null or empty text has no sentences; an empty table gives an
-    empty result.
+    ``matches`` holds sentence, family, probability and overlap of every
+    candidate: a sentence with a cue word, or one that the classifier gives to a
+    family with enough probability.  A line inside a longer candidate of the
+    same family and standing is left out.  ``families`` are the confirmed families in
+    code point order; ``licence`` is the confirmed family of the highest
+    probability (ties: first by name), ``unknown`` if none is confirmed but there
+    is a candidate, else ``none``.  A null or empty text has no sentences; an
+    empty table gives an empty result.
     """
     model = train()
     weights = F.from_json(F.lit(json.dumps(model["weights"])), "map<string,array<double>>")
@@ -208,37 +214,46 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     classes = F.from_json(F.lit(json.dumps(model["classes"])), "array<string>")
     shapes = {family: [_pairs(tokens(n)) for n in notices] for family, notices in TEMPLATES.items()}
     templates = F.from_json(F.lit(json.dumps(shapes)), "map<string,array<array<string>>>")
-    found = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE), lambda s: F.lower(s).rlike(CUES))
-    out = df.select(F.col(id_col).alias("doc_id"), found.alias("_found"))
+    known = F.from_json(F.lit(json.dumps(list(model["weights"]))), "array<string>")
+    shared = F.from_json(F.lit(json.dumps(sorted({p for notices in shapes.values() for own in notices for p in own}))), "array<string>")
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
+    joined = F.regexp_replace(F.regexp_replace(text, PARAGRAPH, "\n\n"), WRAP, " ")
+    out = df.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.concat(F.split(joined, SENTENCE), F.when(F.instr(text, "\n") > 0, F.split(text, SENTENCE)).otherwise(F.array()))).alias("_found"))
 
     def scored(sentence):
         words = F.regexp_extract_all(F.lower(sentence), F.lit(f"({TOKEN})"), 1)
         two = F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.slice(words, 1, 1))
-        return F.struct(sentence.alias("sentence"), F.array_distinct(words).alias("words"), two.alias("pairs"))
+        return F.struct(sentence.alias("sentence"), F.array_distinct(words).alias("words"), two.alias("pairs"), F.lower(sentence).rlike(CUES).alias("cue"))
 
-    out = out.withColumn("_cut", F.transform("_found", scored))
+    # no word pair of any template: the overlap is 0 whatever the family
+    out = out.withColumn("_cut", F.filter(F.transform("_found", scored), lambda c: c["cue"] | F.arrays_overlap(c["pairs"], shared)))
 
     def logits(c):
-        own = F.filter(F.transform(F.array_distinct(F.concat(c["words"], c["pairs"])), lambda g: weights[g]), lambda row: row.isNotNull())
-        return F.struct(c["sentence"].alias("sentence"), c["pairs"].alias("pairs"), F.aggregate(own, bias, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)).alias("z"))
+        own = F.transform(F.array_intersect(F.concat(c["words"], c["pairs"]), known), lambda g: weights[g])
+        return F.struct(c["sentence"].alias("sentence"), c["pairs"].alias("pairs"), c["cue"].alias("cue"), F.aggregate(own, bias, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)).alias("z"))
 
     out = out.withColumn("_z", F.transform("_cut", logits))
 
     def softmax(c):
         top = F.array_max(c["z"])
         total = F.aggregate(c["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - top))
-        return F.struct(c["sentence"].alias("sentence"), c["pairs"].alias("pairs"), classes[F.array_position(c["z"], top).cast("int") - 1].alias("family"), (F.lit(1.0) / total).alias("probability"))
+        return F.struct(c["sentence"].alias("sentence"), c["pairs"].alias("pairs"), c["cue"].alias("cue"), classes[F.array_position(c["z"], top).cast("int") - 1].alias("family"), (F.lit(1.0) / total).alias("probability"))
 
-    out = out.withColumn("_p", F.transform("_z", softmax))
+    likely = lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= LEAST_PROBABILITY)
+    out = out.withColumn("_p", F.filter(F.transform("_z", softmax), lambda c: c["cue"] | likely(c)))
 
     def confirmed(c):
         shared = F.transform(F.coalesce(templates[c["family"]], F.array()), lambda t: F.size(F.array_intersect(t, c["pairs"])) / F.greatest(F.least(F.size(t), F.size(c["pairs"])), F.lit(1)))
         overlap = F.coalesce(F.array_max(shared), F.lit(0.0))
         return F.struct(c["sentence"].alias("sentence"), c["family"].alias("family"), F.round(c["probability"], 6).alias("probability"), F.round(overlap, 6).alias("overlap"))
 
-    out = out.withColumn("matches", F.transform("_p", confirmed))
-    out = out.withColumn("_stand", F.filter("matches", lambda m: (m["family"] != UNKNOWN) & (m["probability"] >= LEAST_PROBABILITY) & (m["overlap"] >= LEAST_OVERLAP)))
-    best = F.array_min(F.transform("_stand", lambda m: F.struct((-m["probability"]).alias("p"), m["family"].alias("family"))))
+    stands = lambda m: likely(m) & (m["overlap"] >= LEAST_OVERLAP)
+    inside = lambda m, o: (o["family"] == m["family"]) & (stands(o) == stands(m)) & (F.length(o["sentence"]) > F.length(m["sentence"])) & F.contains(o["sentence"], m["sentence"])
+    out = out.withColumn("_all", F.transform("_p", confirmed))
+    out = out.withColumn("matches", F.filter("_all", lambda m: ~F.exists("_all", lambda o: inside(m, o))))
+    out = out.withColumn("_stand", F.filter("matches", stands))
+    # a line alone may be surer than the longer sentence around it
+    best = F.array_min(F.transform(F.filter("_all", stands), lambda m: F.struct((-m["probability"]).alias("p"), m["family"].alias("family"))))
     out = out.withColumn("_best", best)
     return out.select(
         "doc_id",

@@ -332,6 +332,22 @@ def test_licence_scores_match_numpy(spark):
     assert m["family"] == model["classes"][int(p.argmax())] and abs(m["probability"] - p.max()) < 1e-5
 
 
+def test_licences_without_cue_words_and_wrapped(spark):
+    texts = [
+        "Released under CC BY-SA 4.0.",
+        "Available under GPL-3.0-or-later.",
+        "Creative Commons Attribution 4.0 International",
+        "Dedicated under CC0 1.0 Universal.",
+        "All rights\nreserved.",
+        "A head line.\n\nAll rights\r\nreserved.\n\nThe end.",
+        "Released under the MIT License\nLicensed under the Apache License, Version 2.0",
+        "The museum is free of charge.\nYou may not use this door.\nIt is based on the law of the city.",
+    ]
+    got = licences.scan(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [list(r["families"]) for r in got] == [["cc-by-sa"], ["gpl"], ["cc-by"], ["public-domain"], ["proprietary"], ["proprietary"], ["apache", "mit"], []]
+    assert [r["n_confirmed"] for r in got] == [1, 1, 1, 1, 1, 1, 2, 0] and got[-1]["licence"] == "none"
+
+
 # --- queries and pipeline ---
 
 
