@@ -22,29 +22,33 @@ from .common import attach, materialize
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Least spread of each transformed statistic; it keeps covariances of constant statistics regular.
-FLOORS = (0.35, 0.10, 0.20, 0.20)
+#: Least spread of each transformed statistic; it keeps covariances of constant statistics regular and lets each statistic alone reject.
+FLOORS = (0.35, 0.10, 0.18, 0.15)
 FEATURES = ("x0", "x1", "x2", "x3")
 D = len(FEATURES)
 H = 0.75
 STEPS = 3
 MIN_GROUP = 100
-#: Squared Mahalanobis distance beyond which a document goes.
-CUTOFF = 30.0
-
-
 def _chi2_cdf(x: float, dof: int) -> float:
     """For an even number of degrees of freedom."""
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
-def consistency(h: float = H, d: int = D) -> float:
-    """The factor that makes the covariance of the nearest share h consistent for Gaussian rows."""
+def _chi2_quantile(q: float, dof: int) -> float:
     lo, hi = 0.0, 200.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, d) < h else (lo, mid)
-    return h / _chi2_cdf(lo, d + 2)
+        lo, hi = (mid, hi) if _chi2_cdf(mid, dof) < q else (lo, mid)
+    return lo
+
+
+def consistency(h: float = H, d: int = D) -> float:
+    """The factor that makes the covariance of the nearest share h consistent for Gaussian rows."""
+    return h / _chi2_cdf(_chi2_quantile(h, d), d + 2)
+
+
+#: Squared Mahalanobis distance beyond which a document goes.
+CUTOFF = _chi2_quantile(0.999, D)
 
 
 def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -80,6 +80,17 @@ def test_outliers(spark):
     assert sorted(r["doc_id"] for r in quality.quality_filter(docs(spark, rows)).select("doc_id").collect()) == sorted(set(got.index[got["kept"]]))
 
 
+def test_lines_or_words_alone_reject(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (4000, 5))]
+    line = lambda n: " ".join(rng.choice(words, n, replace=False))
+    rows = [(i, "\n".join(line(12) for _ in range(10)), "aa", "web") for i in range(200)]
+    again = line(49)
+    rows += [(1000, "\n".join(["Home"] * 40 + [line(10) for _ in range(20)]), "aa", "web"), (1001, f"{again} {again} {line(102)}", "aa", "web")]
+    got = quality.judge(docs(spark, rows))
+    assert {r["doc_id"] for r in got.where("not kept and not base_failed").collect()} == {1000, 1001}
+
+
 def test_quality_empty_and_constant(spark):
     assert quality.judge(docs(spark, [(1, "a", "b", "c")]).limit(0)).count() == 0
     same = docs(spark, [(i, " ".join(f"w{k}" for k in range(100)), "en", "s") for i in range(150)])
