@@ -55,6 +55,20 @@ def attach(left: DataFrame, groups: DataFrame, keys: list[str], n: str, how: str
     return there.unionByName(rest)
 
 
+def ids_are_keys(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or stands in two rows."""
+    return not df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").take(1)
+
+
+def row_keys(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """A scratch table of ``df`` with a unique number in column ``key`` that rises with the id, nulls first."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(id_col).asc_nulls_first(), F.col("_hash"), F.col("_at")]
+    rows = df.withColumns({"_hash": F.xxhash64(text_col), "_at": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_hash", "_at")
+    return materialize(rows.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) with component the smallest node reachable.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _anchors
 from ._anchors import GRAM, SPAN
-from .common import attach, materialize, mix64, small_batches, text_buffer
+from .common import attach, ids_are_keys, materialize, mix64, row_keys, small_batches, text_buffer
 from .suffix_groups import suffix_arrays
 
 SIDE = (SPAN - GRAM) // 2
@@ -342,12 +342,23 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, rest]), one row per row of ``df``.
 
-    ``rest`` are the remaining bytes, which need not be valid UTF-8.  Ids are
-    unique and not null; null texts are empty; texts under SPAN bytes lose
-    nothing; an empty table gives an empty result.
+    ``rest`` are the remaining bytes, which need not be valid UTF-8.  Rows with
+    equal or null ids are documents of their own, null ids the earliest; null
+    texts are empty; texts under SPAN bytes lose nothing; an empty table gives an
+    empty result.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks, spans = removals(df, id_col, text_col)
+    if ids_are_keys(src, "doc_id"):
+        return _removed(src, keep_text)
+    rows = row_keys(src, "doc_id", "text", "row")
+    out = _removed(rows.select(F.col("row").alias("doc_id"), "text"), keep_text)
+    ids = rows.select("row", F.col("doc_id").alias("id"))
+    return out.join(ids, F.col("doc_id") == F.col("row")).select(F.col("id").alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
+
+
+def _removed(src: DataFrame, keep_text: bool) -> DataFrame:
+    """The same for (doc_id, text) rows whose ids are unique and not null."""
+    marks, spans = removals(src)
     spans = _settle(spans, "spans").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("parts")).withColumnRenamed("doc", "doc_id")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if keep_text else "")
     cut = src.join(spans, "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(keep_text), schema)
