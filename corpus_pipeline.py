@@ -1,14 +1,16 @@
 """A training corpus from documents: quality rules, exact and near duplicates, source mix, packed sequences.
 
 Every stage is written as Parquet to the shared folder and read back as the
-next one's input, so a lost executor costs at most one stage's tasks.
+next one's input, so a lost executor costs at most one stage's tasks.  Rows with equal
+or null ids are documents of their own in every stage; of ids in an order, null
+is the smallest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagalog.llm.common import materialize
+from sagalog.llm.common import by_row, materialize
 from sagalog.llm.exact_dedup import exact_dedup
 from sagalog.llm.mixing import mixed_documents
 from sagalog.llm.near_dedup import near_dedup
@@ -21,25 +23,25 @@ from sagalog.plans.cluster import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are multivariate outliers go."""
     ship(spark)
-    return quality_filter(docs)
+    return by_row(quality_filter, docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     ship(spark)
-    return exact_dedup(docs)
+    return by_row(exact_dedup, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
     ship(spark)
-    return near_dedup(docs)
+    return by_row(near_dedup, docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: one row per document and pass, with the words that the pass takes."""
     ship(spark)
-    return mixed_documents(docs)
+    return by_row(mixed_documents, docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,14 @@ def row_keys(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     return materialize(rows.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+def by_row(stage, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``stage(df)``, which keeps all columns, with rows of equal or null ids as documents of their own."""
+    if ids_are_keys(df, id_col):
+        return stage(df)
+    rows = row_keys(df.withColumn("_id", F.col(id_col)), "_id", text_col, id_col)
+    return stage(rows).withColumn(id_col, F.col("_id")).select(*df.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) with component the smallest node reachable.
 

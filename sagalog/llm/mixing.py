@@ -161,7 +161,7 @@ def mixed_documents(df: DataFrame, text_col: str = "text", source_col: str = "so
     """The mix as documents: one row per document and pass, its text cut down to the words taken; columns as in ``df``.
 
     A document that a pass takes whole keeps its text as it is.  n_chars, if
-    there, is counted anew.  Ids are expected to be unique here.
+    there, is counted anew.  Ids are unique and not null here (``common.by_row`` sees to that).
     """
     docs, pieces, _ = mix(df, text_col=text_col, source_col=source_col)
     own = pieces.groupBy("doc_id", F.col("pass").alias("_pass")).agg(F.sum("words").alias("_words"), F.max("size").alias("_size"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))

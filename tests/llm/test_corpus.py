@@ -379,6 +379,31 @@ def test_oracles(spark, name):
 
 
 @tables
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(77)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (4000, 6))]
+    text = lambda n=80: " ".join(rng.choice(words, n, replace=False))
+    same, bad = text(), "too short"
+    rows = [(None, bad, "aa", "web"), (None, text(), "aa", "web"), (5, bad, "aa", "web"), (5, text(), "aa", "web"), (None, same, "aa", "web"), (9, same, "aa", "web"), (9, text(), "aa", "books"), (None, text(), "aa", None), (1, text(), "aa", "web")]
+    df = docs(spark, rows)
+    shown = lambda d: sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["source"] or "") for r in d.collect()))
+    want = lambda keep: sorted((r[0] is not None, r[0] or 0, r[1], r[3] or "") for r in keep)
+    good = [r for r in rows if r[1] != bad]
+    assert shown(corpus_pipeline.quality_rules(spark, df, "")) == want(good)
+    once = [r for r in good if r[:2] != (None, same)]
+    assert shown(corpus_pipeline.exact_duplicates(spark, docs(spark, good), "")) == want(once)
+    # here the smallest stays
+    assert shown(corpus_pipeline.near_duplicates(spark, docs(spark, good), "")) == want([r for r in good if r[:2] != (9, same)])
+    # every row has words of its own, so each mixed text tells whose it is
+    given = mixing.mixed_words(docs(spark, once)).agg({"taken": "sum"}).first()[0]
+    mixed = corpus_pipeline.source_mix(spark, docs(spark, once), "").collect()
+    assert given == sum(len(r["text"].split()) for r in mixed) and any(r["doc_id"] is None for r in mixed)
+    for r in mixed:
+        assert any(r["doc_id"] == i and r["source"] == src and Counter(r["text"].split()) <= Counter(t.split()) for i, t, _, src in once)
+
+
 def test_pipeline(spark):
     from test_dedup import FOLD, brute_near
     from tokenizers import Tokenizer
