@@ -60,6 +60,18 @@ def list_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def numbered_sessions(sessions: DataFrame) -> DataFrame:
+    """Every session with its ``place`` in the listing, newest first; ranges are numbered side by side, none in one task alone."""
+    order = [F.desc("created_at"), F.desc("id")]
+    parts = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, so that counts and ranks see the same ranges
+    ranged = sessions.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).persist()
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + F.col("_rank")).cast("long")).drop("_range", "_rank", "_before")
+
+
 def get_session(sessions: DataFrame, session_id: str) -> DataFrame:
     return sessions.where(F.col("id") == session_id).limit(1)
 

@@ -133,3 +133,11 @@ def test_cap_admission(spark):
     new = spark.createDataFrame([(str(i), T0 + dt.timedelta(seconds=i)) for i in range(5)], "id string, created_at timestamp")
     got = {r["id"]: r["admitted"] for r in log.admit_sessions(s, new, 4).collect()}
     assert got == {"0": True, "1": True, "2": False, "3": False, "4": False}
+
+
+def test_every_session_has_its_place(spark):
+    rows = [(f"s{i:04d}", f"2024-01-{1 + i * 7 % 28:02d} 00:00:00") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id string, at string").selectExpr("id", "cast(at as timestamp) as created_at")
+    got = {r["id"]: r["place"] for r in log.numbered_sessions(df).collect()}
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
+    assert got == {i: k + 1 for k, i in enumerate(want)}
