@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,13 @@ def test_every_session_has_its_place(spark):
     got = {r["id"]: r["place"] for r in log.numbered_sessions(df).collect()}
     want = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
     assert got == {i: k + 1 for k, i in enumerate(want)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_admission_query_counts_active_sessions(spark, monkeypatch):
+    from sagalog.plans import catalog
+
+    seen, real = {}, log.admit_sessions
+    monkeypatch.setattr(log, "admit_sessions", lambda s, c, cap: (seen.update(n=s.count(), cap=cap), real(s, c, cap))[1])
+    got = catalog.QUERIES["active_session_cap_admission"](spark, "/root/testdata/sf0.001")
+    assert seen["n"] > 0 and seen["cap"] == seen["n"] + 100 and got.where("admitted").count() == 100
