@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, small_batches, text_buffer, windows
+from .common import attach, by_row, drop_scratch, materialize, sifted, small_batches, text_buffer, windows
 
 #: Three primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -124,7 +124,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z only; a null text
     counts as empty, so all null and empty texts are one group.  A null id
-    sorts below every other.  Repeated ids are counted once per row.  An empty
+    sorts below every other, and keep_id is null where all ids of a group are.
+    Repeated ids are counted once per row.  Texts of any length are taken whole.  An empty
     table gives an empty result.  Columns other than id and text are not read.
     Fewer ``bits`` make fingerprints collide more often; the result is the same.
     """
@@ -135,26 +136,30 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = src.mapInArrow(_fingerprint_batches, "id long, n_bytes long, f0 long, f1 long, sha string")
     marks = materialize(marks.withColumns({f: F.col(f).bitwiseAND(mask) for f in ("f0", "f1")}), "marks")
     several = materialize(marks.groupBy(*key).agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1"), "several")
-    members = attach(marks.select("id", *key), several.select(*key, "n"), key, "n", "inner").select("id", *key).distinct()
-    text = members.join(src, "id").select(*key, "text").mapInArrow(_chunk_batches, "n_bytes long, f0 long, f1 long, no int, piece binary")
-    differ = text.groupBy(*key, "no").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low != high").select(*key).distinct()
-    differ = materialize(differ, "differ")
+    members = materialize(attach(marks.select("id", *key), several.select(*key, "n"), key, "n", "inner").select("id", *key).distinct(), "members")
+    text = sifted(src, members, ["id"]).join(members.hint("merge"), "id").select(*key, "text").mapInArrow(_chunk_batches, "n_bytes long, f0 long, f1 long, no int, piece binary")
+    differ = text.groupBy(*key, "no").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low != high").select(*key)
+    # texts without an id can't be fetched for the comparison, so their groups go by digest
+    differ = materialize(differ.unionByName(members.where("id is null").select(*key)).distinct(), "differ")
     if not differ.take(1):
-        stays = several
-        out = attach(marks, stays, key, "n")
+        out = attach(marks, several, key, "n")
     else:  # a collision: digests tell these few groups apart
         own = marks.join(differ, key, "left_semi").groupBy(*key, "sha").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
         plain = several.join(differ, key, "left_anti")
         out = attach(marks.join(differ, key, "left_anti"), plain, key, "n").unionByName(attach(marks.join(differ, key, "left_semi"), own, [*key, "sha"], "n"), allowMissingColumns=True)
+    drop_scratch(members)
     return out.select("id", F.coalesce("keep", "id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "sha")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns kept; of rows repeated with the same id and text one stays."""
-    found = exact_groups(df, id_col, text_col)
-    gone = found.where("id != keep_id").select(F.col("id").alias(id_col)).distinct()
-    stays = df.join(gone, id_col, "left_anti")
-    twice = materialize(found.where("id = keep_id and group_size > 1").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(id_col)), "twice")
-    if not twice.take(1):
-        return stays
-    return stays.join(twice, id_col, "left_anti").unionByName(stays.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    """The rows of ``df`` that stay, all columns kept: of equal texts the row with the largest id.
+
+    Rows with equal or null ids are documents of their own, null the smallest
+    id, so of rows repeated with the same id and text one stays.
+    """
+
+    def stay(rows: DataFrame) -> DataFrame:
+        gone = exact_groups(rows, id_col, text_col).where("id != keep_id").select(F.col("id").alias(id_col))
+        return rows.join(gone, id_col, "left_anti")
+
+    return by_row(stay, df, id_col, text_col)
