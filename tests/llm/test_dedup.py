@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sagalog.llm import exact_dedup as ed
 from sagalog.llm import near_dedup as nd
-from sagalog.llm.common import components
+from sagalog.llm.common import components, sifted
 from sagalog.llm.suffix_dedup import remove_repeats
 from sagalog.llm.suffix_groups import suffix_arrays
 
@@ -51,6 +52,25 @@ def test_exact_repeated_rows_and_empty(spark):
     assert ed.exact_groups(df.limit(0)).count() == 0
 
 
+def test_exact_null_ids(spark):
+    df = spark.createDataFrame([(None, "same"), (5, "same"), (None, "alone"), (None, "two"), (None, "two")], "doc_id long, text string")
+    got = sorted((r["id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in ed.exact_groups(df).collect())
+    assert got == [(-1, -1, 1), (-1, -1, 2), (-1, -1, 2), (-1, 5, 2), (5, 5, 2)]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in ed.exact_dedup(df).collect()) == [(-1, "alone"), (-1, "two"), (5, "same")]
+    queried = ed.exact_groups(df).select((F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"))
+    assert queried.where("kept is null").count() == 0
+
+
+def test_sifted(spark):
+    """Every key passes the filter; the others are the rest."""
+    keys = spark.range(0, 40_000, 4).select(F.col("id").alias("k"))
+    df = spark.range(60_000).select(F.col("id").alias("k"), F.lit("x").alias("_bits_"))
+    hit = {r["k"] for r in sifted(df, keys, ["k"]).collect()}
+    rest = {r["k"] for r in sifted(df, keys, ["k"], others=True).collect()}
+    assert set(range(0, 40_000, 4)) <= hit and len(hit) < 10_200 and hit | rest == set(range(60_000)) and not hit & rest
+    assert sifted(df, keys.limit(0), ["k"]).count() == 0 and sifted(df, keys.limit(0), ["k"], others=True).count() == 60_000
+
+
 def test_fingerprints_compose():
     data = np.random.default_rng(1).integers(0, 256, 100_000).astype(np.uint8)
     want = ed.fingerprints(data, np.array([0, len(data)]))[0]
@@ -130,6 +150,66 @@ def test_near_blocks(spark, monkeypatch):
     assert got == brute_near(enumerate(texts))
 
 
+def test_near_rows_grow_in_proportion(spark, monkeypatch):
+    """Four times the near copies send about four times the rows, not their pairs of blocks."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 64)
+    sent, shipped, meeting = [], nd._shipped, nd._meeting
+
+    def counted(src, wanted):
+        sent[-1] += wanted.count()
+        return shipped(src, wanted)
+
+    def met(members, told, reps):
+        out = meeting(members, told, reps)
+        sent[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(nd, "_shipped", counted)
+    monkeypatch.setattr(nd, "_meeting", met)
+    rnd = np.random.default_rng(6)
+    base = [f"w{i}" for i in rnd.integers(0, 5000, 300)]
+    for m in (250, 1000):
+        texts = []
+        for k in range(m):
+            own = list(base)
+            for at in rnd.choice(300, int(rnd.integers(1, 4)), replace=False):
+                own[at] = f"e{k}"
+            texts.append(" ".join(own))
+        sent.append(0)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_components(frame(spark, texts)).collect()}
+        if m == 250:
+            assert got == brute_near(enumerate(texts))
+    assert sent[1] < 6 * sent[0], sent
+
+
+def test_recall_of_bands_and_sketches():
+    """Pairs barely above the limit share a band and pass the sketch."""
+    rnd, limit, found = np.random.default_rng(8), nd.most_different(85), []
+    for size in (14, 100, 600):
+        for _ in range(150):
+            both = rnd.integers(0, 1 << 63, size).astype(np.uint64)
+            apart = int(size / 0.85) - size  # intersection over union just above 0.85
+            left = int(rnd.integers(0, apart + 1))
+            more = rnd.integers(0, 1 << 63, apart).astype(np.uint64)
+            a, b = np.concatenate([both, more[:left]]), np.concatenate([both, more[left:]])
+            assert 100 * size >= 85 * (len(a) + len(b) - size)
+            x, y = nd.minhash(a), nd.minhash(b)
+            sketches = [np.frombuffer(nd.odd_sketch(z), np.uint64) for z in (x, y)]
+            found.append((nd.band_keys(x) == nd.band_keys(y)).any() and np.bitwise_count(sketches[0] ^ sketches[1]).sum() <= limit)
+    assert np.mean(found) >= 0.995
+
+
+def test_near_repeated_ids_with_other_texts(spark):
+    """Rows with one id are one node, linked with whatever one of them is linked with."""
+    rnd = np.random.default_rng(9)
+    a, b, c = (" ".join(f"w{i}" for i in rnd.integers(0, 900, 60)) for _ in range(3))
+    rows = [(7, a), (7, b), (3, b + " tail"), (9, a + " end"), (4, c), (None, a)]
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in nd.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1), (3, 3), (4, 4), (7, 3), (7, 3), (9, 3)]
+    stays = [r["text"] for r in nd.near_dedup(spark.createDataFrame([(None, a), (None, a + " x"), (5, b), (5, c)], "doc_id long, text string")).collect()]
+    assert len(stays) == 3 and b in stays and c in stays
+
+
 def test_near_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in nd.near_components(df).collect()) == [(-1, -1), (1, 1), (1, 1), (4, 1)]
