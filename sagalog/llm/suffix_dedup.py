@@ -16,7 +16,6 @@ occurs.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _anchors
 from ._anchors import GRAM, SPAN
-from .common import attach, ids_are_keys, materialize, mix64, row_keys, small_batches, text_buffer
+from .common import attach, drop_scratch, ids_are_keys, materialize, mix64, row_keys, sifted, small_batches, text_buffer
 from .suffix_groups import suffix_arrays
 
 SIDE = (SPAN - GRAM) // 2
@@ -37,14 +36,9 @@ SIDE_BY_SIDE = 600_000
 #: A key with this many contents in one batch has others for certain; a key with more stretches than the second is cut into groups of about that size.
 SURE_CONTENTS, GROUP_STRETCHES = 8, 2048
 _ROWS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-
-
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    """A scratch table; shuffle files of what went before can then be deleted."""
-    out = materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+#: On the way lo, hi and the two marks are one number.
+_PACKED = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+AGAIN, SURE = 1 << 7, 1 << 8
 
 
 def _digested(batches):
@@ -58,8 +52,8 @@ def _digested(batches):
 def _stretches(batches):
     """Stretches with their anchor's key.
 
-    lo = -1 - lo marks one whose content stands earlier in the batch.  hi =
-    -1 - hi marks one whose key has many contents in the batch: it needs no
+    AGAIN marks one whose content stands earlier in the batch.  SURE marks
+    one whose key has many contents in the batch: it needs no
     meeting to be known as wanted, so a very common anchor does not gather its
     rows in one task; ``content`` then holds the key.
     """
@@ -86,10 +80,10 @@ def _stretches(batches):
         sure = ~again & (np.bincount(group, ~again)[group] >= SURE_CONTENTS) & (nth >= 2)
         content = np.where(sure, key, content)
         key = np.where(again | sure, spread, key)
-        lo, hi = np.where(again, -1 - lo, lo), np.where(sure, -1 - hi, hi)
+        place = (lo << 9) + np.where(again, AGAIN, 0) + np.where(sure, SURE, 0) + (hi - lo)
         for at in range(0, len(key), 50_000):
             cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[cut].view(np.int64), content[cut].view(np.int64), doc[cut], lo[cut], hi[cut])], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[cut].view(np.int64), content[cut].view(np.int64), doc[cut], place[cut])], schema=_PACKED)
 
 
 def _decided(batches):
@@ -101,14 +95,15 @@ def _decided(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, content, doc, lo, hi = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        gone = lo < 0
+        key, content, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        lo = place >> 9
+        hi, gone, sure = lo + (place & (AGAIN - 1)), (place & AGAIN) > 0, (place & SURE) > 0
         if gone.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(gone)) for c in batch.columns], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (key, content, doc, -1 - lo, hi)], schema=_ROWS)
+            sure = sure[~gone]
             key, content, doc, lo, hi = (x[~gone] for x in (key, content, doc, lo, hi))
-        sure = hi < 0
         if sure.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[sure]) for x in (content, content, doc, lo, -1 - hi)], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(x[sure]) for x in (content, content, doc, lo, hi)], schema=_ROWS)
             key, content, doc, lo, hi = (x[~sure] for x in (key, content, doc, lo, hi))
         if not len(key):
             continue
@@ -283,6 +278,32 @@ def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[new], start[new], start[last] + SPAN
 
 
+def _touching(batches):
+    """Sorted (doc, start, stop) rows in, those that touch as one out."""
+    held = None
+    for batch in batches:
+        doc, start, stop = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if held is not None:
+            doc, start, stop = (np.concatenate([[h], x]) for h, x in zip(held, (doc, start, stop), strict=True))
+        if not len(doc):
+            continue
+        # the furthest stop so far in the same document
+        at = np.concatenate([[True], doc[1:] != doc[:-1]])
+        base = np.cumsum(at).astype(np.int64) << 48
+        upto = np.maximum.accumulate(stop + base) - base
+        new = np.flatnonzero(at | np.concatenate([[True], start[1:] > upto[:-1]]))
+        last = np.append(new[1:], len(doc)) - 1
+        out = [doc[new], start[new], upto[last]]
+        held = [x[-1] for x in out]
+        yield _span_rows([x[:-1] for x in out])
+    if held is not None:
+        yield _span_rows([np.array([x], np.int64) for x in held])
+
+
+def _span_rows(cols):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "start", "stop"])
+
+
 def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(parts):
@@ -312,21 +333,21 @@ def _cut_out(keep_text: bool):
     return run
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(marks, spans): digests of all documents, and (doc, start, stop) to remove."""
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(marks, spans, scratch): digests of all documents, (doc, start, stop) to remove, and the tables that the spans are read from."""
     small_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    marks = _settle(src.mapInArrow(_digested, "doc long, n_bytes long, sha string"), "marks")
+    marks = materialize(src.mapInArrow(_digested, "doc long, n_bytes long, sha string"), "marks")
     schema = "key long, content long, doc long, lo long, hi long"
-    stretches = src.mapInArrow(_stretches, schema).repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
-    decided = _settle(stretches.mapInArrow(_decided, schema), "stretches")
+    stretches = src.mapInArrow(_stretches, "key long, content long, doc long, at long").repartition("key").sortWithinPartitions("key", "content", "doc", "at")
+    decided = materialize(stretches.mapInArrow(_decided, schema), "stretches")
     some = decided.where("lo >= 0").select("key", "doc", "lo", "hi")
     heavy = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_STRETCHES), "heavy")
     some = attach(some, heavy, ["key"], "n")
     own = F.coalesce(F.pmod(F.xxhash64("doc", "lo"), F.ceil(F.col("n") / GROUP_STRETCHES)), F.lit(0))
     wanted = some.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "key", own.cast("long").alias("own"), F.col("n").isNotNull().alias("cut"))).alias("parts"))
-    fetched = src.join(wanted.hint("merge"), "doc").select("doc", "text", "parts").mapInArrow(_fetched, "grp long, cut boolean, doc long, lo long, piece binary")
-    found = _settle(fetched.repartition("grp").sortWithinPartitions("grp", "doc", "lo").mapInArrow(_sorted_out, "doc long, start long, stop long, mark binary"), "found")
+    fetched = sifted(src, some, ["doc"]).join(wanted.hint("merge"), "doc").select("doc", "text", "parts").mapInArrow(_fetched, "grp long, cut boolean, doc long, lo long, piece binary")
+    found = materialize(fetched.repartition("grp").sortWithinPartitions("grp", "doc", "lo").mapInArrow(_sorted_out, "doc long, start long, stop long, mark binary"), "found")
     # strings of groups that were cut: the first of each digest stays
     loose = found.where("mark is not null")
     if loose.take(1):
@@ -336,7 +357,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         later = loose.select("doc", "start", "stop")
     spans = found.where("mark is null").select("doc", "start", "stop").unionByName(later)
     spans = spans.unionByName(decided.where("lo < 0").select("doc", (-1 - F.col("lo")).alias("start"), (F.col("hi") + SPAN).alias("stop")))
-    return marks, spans
+    return marks, spans, [decided, heavy, found]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -358,12 +379,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _removed(src: DataFrame, keep_text: bool) -> DataFrame:
     """The same for (doc_id, text) rows whose ids are unique and not null."""
-    marks, spans = removals(src)
-    spans = _settle(spans, "spans").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("parts")).withColumnRenamed("doc", "doc_id")
+    marks, spans, scratch = removals(src)
+    # the spans of a text that touch are joined before they travel to it
+    spans = materialize(spans.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(_touching, "doc_id long, start long, stop long"), "spans")
+    parts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if keep_text else "")
-    cut = src.join(spans, "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(keep_text), schema)
+    cut = sifted(src, spans.select("doc_id").distinct(), ["doc_id"]).join(parts.hint("merge"), "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(keep_text), schema)
     if not keep_text:
-        cut = _settle(cut, "cut")
+        cut = materialize(cut, "cut")
+        for gone in (spans, *scratch):
+            drop_scratch(gone)
     touched = cut.select("doc_id")
     marks = marks.withColumnRenamed("doc", "doc_id")
     zero = F.lit(0).cast("long")
