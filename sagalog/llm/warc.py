@@ -3,9 +3,9 @@
 Pages become response records, or revisit records where another page has the
 same payload, in files of gzip members in the shared folder.  The index sorts
 reversed-host URL keys into compressed blocks; a sparse directory keeps first
-and last key of every block.  A lookup filters the directory, searches one
-block by bisection and reads the record's byte range; reading back goes through
-the index blocks too.
+and last key of every block.  A lookup bisects the directory, then the blocks
+it leads to, and reads the records' byte ranges; reading back goes through the
+index blocks too.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, scratch_path, small_batches
+from .common import attach, materialize, scratch_path, sifted, small_batches
 
 BLOCK_LINES = 1000
-_ID = "urn:page:"
+#: Bytes of archive that a reading task gets, and the least for a task of its own where there are cores to spare.
+TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 1 << 20
+_ID, _NO_ID = "urn:page:", "urn:page-without-id:"
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 
 
@@ -52,11 +54,14 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header, with the length of the full payload, and no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One WARC record; a revisit keeps the HTTP header, with the length of the full payload, and no payload.
+
+    A page without an id gets a record id of its own kind, made of its URL and digest.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_record_id(page_id, url, digest)}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -66,6 +71,10 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"{_ID}{page_id}" if page_id is not None else _NO_ID + hashlib.sha1(f"{url}|{digest}".encode()).hexdigest()
+
+
 def parse_record(data: bytes) -> dict:
     """Headers of a record by lower-case name, its HTTP header's length field and its payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -73,7 +82,7 @@ def parse_record(data: bytes) -> dict:
     block = rest[: int(names["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     full = re.search(rb"(?i)content-length: *(\d+)", http)
-    number = lambda name: int(names[name].strip("<>").removeprefix(_ID)) if name in names else None
+    number = lambda name: int(names[name].strip("<>").removeprefix(_ID)) if names.get(name, "<").startswith(f"<{_ID}") else None
     return {
         "page_id": number("warc-record-id"),
         "record_type": names["warc-type"],
@@ -119,7 +128,7 @@ def _written(folder: str, date: str):
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = packer.compress(record(page_id, url, (html or "").encode(), digest, refers_to, date)) + packer.flush()
                 out.write(data)
-                rows.append((url_key(url), page_id, name, at, len(data)))
+                rows.append((url_key(url), page_id, name, at, len(data)))  # a null page_id stays null
                 at += len(data)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
@@ -135,17 +144,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with
     the largest page_id is the response, the others revisit it; a null html is
     an empty payload, a null url has no target header.  Rows that repeat the
-    largest page_id of their payload are all responses.
+    largest page_id of their payload are all responses.  A null page_id is the
+    smallest and comes back as null; where all of a payload are null all are
+    responses.  Payloads of any size are written whole; an empty table gives an
+    empty manifest.  Other columns are not read.
     """
     small_batches(pages.sparkSession)
     files, path = _files(folder)
     files.create_dir(path, recursive=True)
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_digested, "page_id long, url string, html string, digest string, size long")
     marks = materialize(full.select("page_id", "digest", "size"), "digests")
-    groups = materialize(marks.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    revisits = attach(marks, groups, ["digest"], "n", "inner").where("page_id != refers_to and size >= " + str(int(min_bytes))).select("page_id", "digest", "refers_to").distinct()
-    full = full.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    return materialize(full.mapInArrow(_written(folder, date), _MANIFEST), "manifest")
+    groups = marks.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    groups = materialize(groups.where("n > 1 and refers_to is not null"), "payloads")
+    # only payloads that may have copies travel; the others are written where they are read
+    asked = sifted(full.where(F.col("size") >= min_bytes), groups, ["digest"])
+    known = attach(asked, groups, ["digest"], "n").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
+    alone = sifted(full, groups, ["digest"], others=True)
+    if min_bytes > 0:
+        alone = alone.unionByName(sifted(full, groups, ["digest"]).where(F.col("size") < min_bytes))
+    alone = alone.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return materialize(known.unionByName(alone).mapInArrow(_written(folder, date), _MANIFEST), "manifest")
 
 
 _DIRECTORY = "first string, last string, file string, offset long, length long, lines long"
@@ -169,26 +187,37 @@ def _indexed(folder: str, lines: int):
             held = []
             return row
 
-        for pdf in frames:
+        for batch in frames:
             rows = []
-            for row in pdf.itertuples(index=False):
-                held.append((row.key, int(row.page_id), row.file, int(row.offset), int(row.length)))
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.append(row)
                 if len(held) >= lines:
                     rows.append(block())
-            yield pd.DataFrame(rows, columns=["first", "last", "file", "offset", "length", "lines"])
+            yield _directory_rows(rows)
         if held:
-            yield pd.DataFrame([block()], columns=["first", "last", "file", "offset", "length", "lines"])
+            yield _directory_rows([block()])
         if out is not None:
             out.close()
 
     return run
 
 
+def _directory_rows(rows):
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["first", "last", "file", "offset", "length", "lines"])
+
+
 def write_index(manifest: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort the captures into compressed blocks; returns the sparse directory, one row per block."""
+    """Sort the captures into compressed blocks; returns the sparse directory, one row per block.
+
+    The captures of one URL may lie in several blocks and index files: page_id
+    and place are part of the order, so a URL with very many captures is split.
+    """
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = manifest.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return materialize(ordered.mapInPandas(_indexed(folder, lines), _DIRECTORY), "directory")
+    order = ["key", "page_id", "file", "offset"]
+    ordered = manifest.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialize(ordered.mapInArrow(_indexed(folder, lines), _DIRECTORY), "directory")
 
 
 def _range(handle, offset: int, length: int) -> bytes:
@@ -200,15 +229,32 @@ def _block_lines(data: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
 
 
-def _entries(frames):
-    for pdf in frames:
-        rows = []
-        for name, part in pdf.groupby("file", sort=False):
-            files, path = _files(name)
-            with files.open_input_file(path) as handle:
-                for offset, length in zip(part["offset"], part["length"], strict=True):
-                    rows += _block_lines(_range(handle, int(offset), int(length)))
-        yield pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length"])
+def _entries(key: str | None = None):
+    """Index lines of the blocks; with a key only that key's, found by bisection in each block."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                files, path = _files(name)
+                with files.open_input_file(path) as handle:
+                    found = _block_lines(_range(handle, offset, length))
+                if key is not None:
+                    at = bisect.bisect_left(found, key, key=lambda x: x[0])
+                    found = found[at : bisect.bisect_right(found, key, lo=at, key=lambda x: x[0])]
+                rows += found
+                if len(rows) > 50_000:
+                    yield _entry_rows(rows)
+                    rows = []
+            yield _entry_rows(rows)
+
+    return run
+
+
+def _entry_rows(rows):
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
 
 _RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -236,32 +282,54 @@ def _records(frames):
 
 def _record_frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-    out["refers_to"] = out["refers_to"].astype("Int64")
+    for name in ("page_id", "refers_to"):
+        out[name] = out[name].astype("Int64")
     return out
 
 
+def _payloads(lines: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records of index lines, read by range in file order, about ``task_bytes`` of archive a task."""
+    spark = lines.sparkSession
+    lines = materialize(lines.select("file", "offset", "length"), "lines")
+    total = lines.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-total // task_bytes), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_TASK_BYTES)))
+    stretch = (F.col("offset") / task_bytes).cast("long")
+    dealt = lines.withColumn("stretch", stretch).repartition(parts, "file", "stretch").sortWithinPartitions("file", "offset")
+    return dealt.select("file", "offset", "length").mapInPandas(_records, _RECORD)
+
+
 def read_archives(directory: DataFrame) -> DataFrame:
-    """Every record of the archives, found through the index blocks and read by byte range in file order."""
-    lines = directory.select("file", "offset", "length").mapInPandas(_entries, _MANIFEST)
-    return lines.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInPandas(_records, _RECORD)
+    """Every record of the archives, found through the index blocks."""
+    return _payloads(directory.select("file", "offset", "length").mapInArrow(_entries(), _MANIFEST))
+
+
+class Directory:
+    """The sparse directory in the order of its blocks, for binary search.
+
+    It is held as the first and last keys of the Parquet files that the
+    directory was written to, one pair per index file; a search bisects these
+    and then the blocks of the files that it hits, so only those are read.
+    """
+
+    def __init__(self, directory: DataFrame):
+        self.directory = directory
+        ends = directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("first", "last")
+        self.files = [(r["first"], r["last"], r["file"]) for r in ends.collect()]
+
+    def blocks(self, key: str) -> DataFrame:
+        """The blocks that may hold a key."""
+        # the files are in order and touch in one key at most, so both ends can be bisected
+        low = bisect.bisect_left(self.files, key, key=lambda x: x[1])
+        high = bisect.bisect_right(self.files, key, lo=low, key=lambda x: x[0])
+        names = [x[2] for x in self.files[low:high]]
+        return self.directory.where(F.col("file").isin(names) & (F.col("first") <= key) & (F.col("last") >= key))
 
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
-    """The records of one URL: directory filter, bisection in the blocks, range reads; revisits get the payload they refer to by page_id only."""
+def lookup(directory: DataFrame | Directory, url: str) -> DataFrame:
+    """The records of one URL: binary search in the directory, in its blocks, then range reads; revisits name the response by refers_to."""
+    known = directory if isinstance(directory, Directory) else Directory(directory)
     key = url_key(url)
-    found = []
-    for block in directory.where((F.col("first") <= key) & (F.col("last") >= key)).collect():
-        files, path = _files(block["file"])
-        with files.open_input_file(path) as handle:
-            rows = _block_lines(_range(handle, block["offset"], block["length"]))
-        at = bisect.bisect_left(rows, [key])
-        while at < len(rows) and rows[at][0] == key:
-            _, _, name, offset, length = rows[at]
-            files, path = _files(name)
-            with files.open_input_file(path) as handle:
-                found.append(parse_record(zlib.decompress(_range(handle, offset, length), 31)))
-            at += 1
-    return found
+    return _payloads(known.blocks(key).select("file", "offset", "length").mapInArrow(_entries(key), _MANIFEST))
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
