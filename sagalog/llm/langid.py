@@ -24,6 +24,8 @@ ORDER = 4
 TRAIN_ROWS = 1200
 #: Length at which the evidence of a text counts in full.
 FULL_CHARS = 200
+#: Rows at which a language's rejection bound is half its own, and the distance of that from the median in median deviations.
+PRIOR_ROWS, DEVIATIONS = 10, 12
 _SPACE = 32
 _FOLD: list[np.ndarray] = []
 _SHIFT = np.uint64(16)
@@ -148,9 +150,15 @@ class Model:
         code, count = counted(codes(low, self.order))
         return -(count @ self.logp(code)) / count.sum()
 
-    def calibrate(self, rows: list[tuple[str, np.ndarray]]) -> None:
-        """Fit the score's temperature and each language's rejection bound on rows that are no part of the counts."""
-        ents = [(self.languages.index(lang), len(low), self.entropy(low)) for lang, low in rows if lang in self.languages and len(low) > 1]
+    def calibrate(self, rows: list[tuple[str, int, np.ndarray]]) -> None:
+        """Fit the score's temperature and the rejection bounds on (language, characters, cross-entropies) of rows that are no part of the counts.
+
+        A language's bound starts at the cross-entropy of equally likely
+        characters and moves to that of its own rows as they become more than
+        PRIOR_ROWS, so a language with few or no such rows has a bound too.
+        """
+        ents = [(self.languages.index(lang), n, e) for lang, n, e in rows if lang in self.languages]
+        self.bounds = np.full(len(self.languages), -self.floor)
         if not ents:
             return
         best = -np.inf
@@ -159,10 +167,11 @@ class Model:
             if fit > best + 1e-6:
                 best, self.temperature = fit, float(t)
         for j in range(len(self.languages)):
-            own = [e[j] for k, n, e in ents if k == j and n >= 20]
-            if len(own) >= 20:
-                mid, spread = np.median(own), np.median(np.abs(own - np.median(own)))
-                self.bounds[j] = mid + 12 * max(spread, 0.02)
+            own = np.array([e[j] for k, n, e in ents if k == j and n >= 20])
+            if len(own):
+                mid = float(np.median(own))
+                far = mid + DEVIATIONS * max(0.02, float(np.median(np.abs(own - mid))))
+                self.bounds[j] += (far - self.bounds[j]) * len(own) / (len(own) + PRIOR_ROWS)
 
     def posterior(self, entropy: np.ndarray, n: int, temperature: float | None = None) -> np.ndarray:
         z = -entropy * min(n, FULL_CHARS) * (self.temperature if temperature is None else temperature)
@@ -185,16 +194,25 @@ def _count_batches(batches):
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model from the labelled rows of ``df``; the languages are the values of ``lang_col``, a closed set of a few hundred at most."""
+    """A model from the labelled rows of ``df``; the languages are the values of ``lang_col``, a closed set of a few hundred at most.
+
+    Rows without text or language teach nothing; rows with equal ids are rows of
+    their own; texts of any length are counted whole; an empty table gives a
+    model without languages.
+    """
     small_batches(df.sparkSession)
     src = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({})
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
+    # rows with equal ids are drawn alike; a null id has a hash too
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
     picked = src.where(draw < rate[F.col("lang")] * 1_000_003)
-    held = (F.col("text").isNotNull()) & (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0) & F.col("lang").isin([k for k, n in sizes.items() if n >= 30])
+    # the row of each language that a hash puts first is always counted, so every language drawn has a model
+    first = src.groupBy("lang").agg(F.min_by("id", F.xxhash64("id", F.lit("first"))).alias("first"))
+    picked = picked.join(F.broadcast(first), "lang").withColumn("_first", F.coalesce(F.col("id") == F.col("first"), F.lit(True)))
+    held = ~F.col("_first") & (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0)
     counts = picked.where(~held).select("lang", "text").mapInArrow(_count_batches, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     per = {}
     for lang in sizes:
@@ -204,11 +222,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if len(code):
             per[lang] = (code[order], n[order])
     model = Model(per)
-    probe = picked.where(held).where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(4)) == 0).select("lang", "text")
-    model.calibrate([(r["lang"], letters(r["text"])) for r in probe.toLocalIterator()])
+    # the texts stay on the executors; a few numbers a row come back, at most a third of ``rows`` a language
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    probe = picked.where(held).select("lang", "text").mapInArrow(_probed(shared), "lang string, n long, entropies array<double>")
+    model.calibrate([(r["lang"], r["n"], np.array(r["entropies"])) for r in probe.collect()])
     return model
 
 
+def _probed(shared):
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            langs, sizes, out = [], [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                low = letters(text.as_py() or "")
+                if len(low) > 1:
+                    langs.append(lang)
+                    sizes.append(len(low))
+                    out.append(model.entropy(low))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["lang", "n", "entropies"])
+
+    return run
+
+
 def _identified(shared):
     def run(batches):
         model = shared.value
@@ -233,7 +269,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where the text is null or has no letter (or nothing
     was learned).  ``rejected`` tells that the text fits even the best language
-    worse than its calibrated bound.  Ties go to the first language in code
+    worse than its calibrated bound.  Rows with equal or null ids are predicted
+    each on its own, texts of any length whole, other columns are not read, and
+    an empty table gives an empty result.  Ties go to the first language in code
     point order.  The broadcast model is bounded by the rows learned from.
     """
     spark = df.sparkSession

@@ -74,4 +74,16 @@ REPEATS = """
     SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
     FROM d LEFT JOIN t ON d.doc_id = t.doc_id JOIN r ON d.doc_id = r.doc_id"""
 
-ORACLES = {"op1_minhash_near_dedup": NEAR, "op2_mixing": MIXED, "op4_exact_dedup": EXACT, "op5_warc": WARC, "op8_suffix_dedup": REPEATS}
+#: The base columns of the quality rules; the outlier verdict is not SQL's.
+QUALITY_BASE = r"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) u),
+    m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) v WHERE k > 1),
+    r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM m, (VALUES (0), (1), (2)) AS x(o) GROUP BY doc_id),
+    b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b"""
+
+ORACLES = {"quality_base_statistics": QUALITY_BASE, "op1_minhash_near_dedup": NEAR, "op2_mixing": MIXED, "op4_exact_dedup": EXACT, "op5_warc": WARC, "op8_suffix_dedup": REPEATS}

@@ -4,6 +4,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -42,16 +43,41 @@ def test_statistics(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(t), t
 
 
+def subset_estimate(x, own, n):
+    """Mean, covariance with floors, and logarithm of its determinant, of the rows ``own``."""
+    near = x[own]
+    cov = np.cov(near.T, bias=True) * quality.consistency() + np.diag(np.square(quality.FLOORS)) * (1 + quality.SMALL / n)
+    return near.mean(axis=0), cov, np.linalg.slogdet(cov)[1]
+
+
 def numpy_mcd(x):
-    med = np.median(x, axis=0)
-    q1, q3 = np.quantile(x, [0.25, 0.75], axis=0)
-    floor = np.diag(np.square(quality.FLOORS))
-    mean, cov = med, np.diag(((q3 - q1) / 1.349) ** 2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
-        near = x[np.argsort(d, kind="stable")[: int(np.ceil(quality.H * len(x)))]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency()
-    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+    """The best of many random starts, each concentrated until nothing changes; subsets by sorting, no bins."""
+    rnd, n = np.random.default_rng(5), len(x)
+    h, best = int(np.ceil(quality.H * n)), None
+    for _ in range(60):
+        own, last = rnd.choice(n, 5, replace=False), None
+        while last is None or set(own) != last:
+            last = set(own)
+            mean, cov, _ = subset_estimate(x, own, n)
+            own = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:h]
+        mean, cov, logdet = subset_estimate(x, own, n)
+        if best is None or logdet < best[0]:
+            best = (logdet, np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
+    return best[1]
+
+
+def test_mcd_against_every_subset(spark):
+    """Groups of 14 rows, 4 of them far off in one clump: the determinant found is nearly the least of all 364 subsets."""
+    rnd, rows, groups = np.random.default_rng(11), [], {}
+    for g in range(6):
+        x = np.vstack([rnd.normal([5, 0.5, 0.3, 0.2], [0.8, 0.3, 0.3, 0.2], (11, 4)), rnd.normal([12 + g, 3, 2, 3], 0.05, (3, 4))])
+        groups[f"g{g}"] = x
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+    got = quality.estimates(spark.createDataFrame(rows, "key string, x0 double, x1 double, x2 double, x3 double")).toPandas().set_index("key")
+    for key, x in groups.items():
+        least = min((subset_estimate(x, list(own), 14) for own in combinations(range(14), 11)), key=lambda e: e[2])
+        assert abs(got.loc[key, "logdet"] - least[2]) < 0.05, key
+        assert np.allclose(got.loc[key, ["m0", "m1", "m2", "m3"]].to_numpy(float), least[0], atol=0.1)
 
 
 def test_outliers(spark):
@@ -91,6 +117,18 @@ def test_lines_or_words_alone_reject(spark):
     assert {r["doc_id"] for r in got.where("not kept and not base_failed").collect()} == {1000, 1001}
 
 
+def test_few_rows_and_null_ids_are_judged(spark):
+    """No least size of a table: one far-off row among a dozen goes, repeated rows are judged each on its own."""
+    rng = np.random.default_rng(13)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (3000, 5))]
+    good = [(None if i < 2 else i, " ".join(rng.choice(words, 70, replace=False)), "aa", None) for i in range(12)]
+    bad = (7, " ".join(w + "#$%&|" * 12 for w in words[:80]), "aa", None)
+    got = quality.judge(docs(spark, [*good, good[5], bad, bad])).collect()
+    assert len(got) == 15 and sum(not r["kept"] for r in got) == 2 and all(r["n_symbols"] > 0 for r in got if not r["kept"])
+    stays = quality.quality_filter(docs(spark, [*good, good[5], bad, bad])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in stays) == sorted((r[0] or 0, r[1]) for r in [*good, good[5]])
+
+
 def test_quality_empty_and_constant(spark):
     assert quality.judge(docs(spark, [(1, "a", "b", "c")]).limit(0)).count() == 0
     same = docs(spark, [(i, " ".join(f"w{k}" for k in range(100)), "en", "s") for i in range(150)])
@@ -148,6 +186,41 @@ def test_permutation(spark):
         assert sorted(r["p"] for r in got) == list(range(n)) and all(r["b"] == r["id"] for r in got)
 
 
+def test_shard_draws_are_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 50)
+    sizes = {"a": 3_000_000, "b": 900_000, None: 300_000, "tiny": 5}
+    per = spark.createDataFrame([(s, n, 10, float(n)) for s, n in sizes.items()], "source string, source_size long, n_docs long, target double")
+    plan = mixing.materialize(mixing._plan(per), "plan")
+    got = mixing.shard_counts(plan).toPandas()
+    n = plan.toPandas().set_index("name")["slots"]
+    shards, total = -(-n.sum() // 50), n.sum()
+    # every slot of a source lies in exactly one shard, in stretches that go up with the shard
+    for name, own in got.sort_values(["shard", "first"]).groupby("name"):
+        assert own["first"].tolist() == [0, *np.cumsum(own["k"])[:-1]] and own["k"].sum() == n[name]
+    inner = got[got["shard"] < shards - 120].groupby(["name", "shard"])["k"].sum().unstack(fill_value=0)
+    for name in ("=a", "=b", "null"):
+        share = n[name] / total
+        k = inner.loc[name].to_numpy()
+        assert abs(k.mean() - 50 * share) < 5 * np.sqrt(50 * share * (1 - share) / len(k))
+        assert 0.8 < k.var() / (50 * share * (1 - share)) < 1.25
+    assert inner.sum().max() == 50 and (inner.sum() == 50).mean() > 0.99  # draws that a source has too many are dropped
+    # a source takes the places that another does not
+    want = -np.sqrt(n["=a"] * n["=b"] / ((total - n["=a"]) * (total - n["=b"])))
+    assert abs(np.corrcoef(inner.loc["=a"], inner.loc["=b"])[0, 1] - want) < 0.1
+
+
+def test_mixed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i * 37)), "en", "ab"[i % 2] if i % 5 else None) for i in range(40)]
+    df = docs(spark, rows)
+    out = mixing.mixed_blocks(df).toPandas()
+    assert (out["words"] == out["text"].str.split().str.len()).all() and out["words"].max() == mixing.BLOCK and out["shard"].nunique() > 10
+    taken = Counter(w.split("w")[0] for t in out["text"] for w in t.split())
+    assert taken == Counter({f"d{r['doc_id']}": r["taken"] for r in mixing.mixed_words(df).collect() if r["taken"]})
+    sizes = out.groupby("shard").size()
+    assert sizes.iloc[:-3].max() <= 8
+
+
 def test_mixed_documents(spark):
     rows = [(i, "\n".join(f"d{i}w{k} \t" for k in range(50 + i * 31)), "en", "ab"[i % 2]) for i in range(20)]
     df = docs(spark, rows)
@@ -250,6 +323,59 @@ def test_kneser_ney_is_a_distribution():
         assert np.allclose(p, 1, atol=2e-3), (context, p)
 
 
+def brute_kneser_ney(texts, alphabet, order=langid.ORDER):
+    """Log-probability of a character after its context, by recursion over dictionaries; one language."""
+    counts = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        padded = " " * (order - 2) + text
+        for i in range(1, len(text)):
+            counts[order][padded[i - 1 : i - 1 + order]] += 1
+    for n in range(order - 1, 0, -1):  # in how many ways an n-gram continues another character
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
+    discounts = [0.0]
+    for n in range(1, order + 1):
+        ones, twos = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+        discounts.append(min(0.95, max(0.1, ones / max(1, ones + 2 * twos))))
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / max(2, len(alphabet) + 1)
+        after = [v for g, v in counts[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        d = discounts[n]
+        return max(counts[n][gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+    return lambda gram: np.log(p(gram))
+
+
+def test_kneser_ney_against_brute_force():
+    rnd = np.random.default_rng(15)
+    texts = {lang: [" " + "".join(rnd.choice(list(letters), 60, p=w)) + " " for _ in range(3)] for lang, letters, w in (("a", "abcd ", [0.4, 0.2, 0.1, 0.1, 0.2]), ("b", "bcde ", [0.1, 0.1, 0.3, 0.3, 0.2]))}
+    model = langid.Model({k: langid._summed(*[np.concatenate(x) for x in zip(*[langid.counted(langid.codes(np.array(list(map(ord, t)), np.uint16))) for t in ts], strict=True)]) for k, ts in texts.items()})
+    alphabet = {c for ts in texts.values() for t in ts for c in t[1:]}
+    for j, (lang, own) in enumerate(sorted(texts.items())):
+        assert model.languages[j] == lang
+        brute = brute_kneser_ney(own, alphabet)
+        probes = [x[i : i + 4] for t in (own[0], texts["a"][1], texts["b"][2]) for x in [" " * 2 + t] for i in range(len(x) - 3)] + ["zzzz", "abzz", "zzab", "dzab"]
+        codes = np.array([int.from_bytes(b"".join(ord(c).to_bytes(2, "big") for c in g), "big") for g in probes], np.uint64)
+        assert np.allclose(model.logp(codes)[:, j], [brute(g) for g in probes], atol=1e-4), lang
+
+
+def test_rare_languages_and_rejection(spark):
+    rnd = np.random.default_rng(16)
+    said = lambda letters: " ".join("".join(rnd.choice(list(letters), 5)) for _ in range(60))
+    rows = [(i, said("abcde"), "big", "s") for i in range(120)] + [(200 + i, said("vwxyz"), "small", "s") for i in range(4)] + [(300, said("mnopq"), "one", "s"), (None, said("abcde"), "big", None), (5, "", "big", "s"), (6, None, "big", "s")]
+    model = langid.train(docs(spark, rows))
+    assert model.languages == ["big", "one", "small"] and np.isfinite(model.bounds).all()
+    probe = [(1, said("abcde"), None, None), (1, said("vwxyz"), None, None), (2, "ЖЗИЙ КЛМН " * 40, None, None), (3, "abcde " * 50_000, None, None), (None, said("abcde"), None, None)]
+    got = langid.identify(docs(spark, probe), model).collect()
+    assert [(r["lang_pred"], r["rejected"]) for r in got][:2] == [("big", False), ("small", False)] and got[2]["rejected"] and got[4]["lang_pred"] == "big"
+    assert got[3]["lang_pred"] == "big" and len(got) == 5 and langid.identify(docs(spark, probe).limit(0), model).count() == 0
+
+
 def test_letters():
     assert langid.letters("") .size == 0 and langid.letters("123 .,\n").size == 0
     assert "".join(map(chr, langid.letters("Ab--c 9É"))) == " ab c é "
@@ -300,15 +426,28 @@ def test_warc(spark):
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == warc.payload_digest(payload)
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
         assert bytes(r["payload"]) == (payload if i == first else b"")
-    assert sorted(x["page_id"] for x in warc.lookup(directory, "https://www.a.com/1")) == [1, 5, 6] and warc.lookup(directory, "http://none/") == []
+    assert sorted(x["page_id"] for x in warc.lookup(directory, "https://www.a.com/1").collect()) == [1, 5, 6] and warc.lookup(directory, "http://none/").count() == 0
     folder = directory.first()["file"].rsplit("/", 1)[0]
     small = warc.write_index(warc.write_archives(pages, folder + "-b", min_bytes=7), folder + "-b", lines=16)
     again = {r["page_id"]: r["record_type"] for r in warc.read_archives(small).collect()}
     assert again[1] == again[2] == "response" and again[20] == "revisit" and small.count() > 10
-    assert all(sorted(x["page_id"] for x in warc.lookup(small, u)) == [i] for i, u, _ in rows[40:50])
+    known = warc.Directory(small)
+    assert all(sorted(x["page_id"] for x in warc.lookup(known, u).collect()) == [i] for i, u, _ in rows[40:44])
     assert warc.read_archives(warc.archive(pages.limit(0))).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark):
+    rows = [(None, "http://a/", "one"), (3, "http://a/", "one"), (None, None, "two"), (None, "http://b/", "two"), (4, "http://c/", "lone"), (4, "http://c/", "lone"), (2, "http://c/", "lone")]
+    directory = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"] or -1, bytes(r["payload"]).decode()) for r in warc.read_archives(directory).collect())
+    assert got == [(-1, "response", -1, "two"), (-1, "response", -1, "two"), (-1, "revisit", 3, ""), (2, "revisit", 4, ""), (3, "response", -1, "one"), (4, "response", -1, "lone"), (4, "response", -1, "lone")]
+    # one URL in many blocks and index files
+    many = spark.createDataFrame([(i, "http://hot/", f"p{i}") for i in range(300)], "page_id long, url string, html string")
+    folder = directory.first()["file"].rsplit("/", 1)[0]
+    hot = warc.write_index(warc.write_archives(many, folder + "-hot"), folder + "-hot", lines=7)
+    assert hot.count() > 40 and sorted(r["page_id"] for r in warc.lookup(hot, "http://hot/").collect()) == list(range(300))
+
+
 # --- licences ---
 
 
