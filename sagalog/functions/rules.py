@@ -94,7 +94,16 @@ def violation(content: Column, schema: Schema, context: str) -> Column:
     malformed JSON are no object.  Values are shown in canonical form.
     """
     raw = F.when(content.isNull() | content.isin("", "null"), F.lit("{}")).otherwise(content)
-    keys, doc = F.json_object_keys(raw), F.try_parse_json(raw)
+    # parsed once a row, whatever the number of branches that look at it
+    return _let(F.struct(F.json_object_keys(raw).alias("keys"), F.try_parse_json(raw).alias("doc")), lambda it: _first_violation(it["keys"], it["doc"], schema, context))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _first_violation(keys: Column, doc: Column, schema: Schema, context: str) -> Column:
     where = F.lit(f" in input for {context}")
     steps = [F.when(keys.isNull() | doc.isNull(), _violation(F.lit(f"input for {context} must be a JSON object")))]
     valid = schema.fields
@@ -114,9 +123,11 @@ def violation(content: Column, schema: Schema, context: str) -> Column:
 
 def _field_violation(doc: Column, name: str, rule: Rule, context: str) -> Column:
     path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-    value = F.try_variant_get(doc, path, "variant")
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(doc, path, "string")
+    found = F.struct(F.schema_of_variant(F.try_variant_get(doc, path, "variant")).alias("kind"), F.try_variant_get(doc, path, "string").alias("text"))
+    return _let(found, lambda it: _checked(it["kind"], it["text"], name, rule, context))
+
+
+def _checked(kind: Column, text: Column, name: str, rule: Rule, context: str) -> Column:
     null = kind.isNull() | (kind == "VOID")
     is_text, is_flag = kind == "STRING", kind == "BOOLEAN"
     is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")

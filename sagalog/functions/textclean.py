@@ -14,7 +14,8 @@ from ..model import BadArguments
 WS = r"[\t\n\f\r ]"
 WORD = r"[\p{L}\p{N}]"
 DASH = "–"
-HYPHEN_SPLIT = rf"({WORD}+){WS}*\n{WS}*-{WS}*\n{WS}*({WORD}+)"
+#: Only the letters next to the split matter; as they are not taken up, one pass joins chains too.
+HYPHEN_SPLIT = rf"(?<={WORD}){WS}*\n{WS}*-{WS}*\n{WS}*(?={WORD})"
 CITATION = rf"\[{WS}*\n+{WS}*([0-9]+){WS}*\n+{WS}*\]"
 NUMBER_RANGE = rf"([0-9][0-9,.]*)[ \t]*\n+[ \t]*{DASH}[ \t]*\n+[ \t]*([0-9])"
 PROSE_DASH = rf"([^\t\n\f\r ])[ \t]*\n+[ \t]*{DASH}[ \t]*\n+[ \t]*([^\t\n\f\r ])"
@@ -37,8 +38,8 @@ PAGE_MARKER = r"^<!-- page ([0-9]+) -->"
 
 
 def rejoin(c: Column) -> Column:
-    """Hyphen splits (two passes reach the fixpoint: the second joins what overlapped), citations, number ranges, dashes."""
-    for pattern, into in ((HYPHEN_SPLIT, "$1-$2"), (HYPHEN_SPLIT, "$1-$2"), (CITATION, "[$1]"), (NUMBER_RANGE, f"$1{DASH}$2"), (PROSE_DASH, f"$1 {DASH} $2")):
+    """Hyphen splits, citations, number ranges, dashes."""
+    for pattern, into in ((HYPHEN_SPLIT, "-"), (CITATION, "[$1]"), (NUMBER_RANGE, f"$1{DASH}$2"), (PROSE_DASH, f"$1 {DASH} $2")):
         c = F.regexp_replace(c, pattern, into)
     return c
 
@@ -101,17 +102,17 @@ def join_path(folder: str, file: Column) -> Column:
 
 
 def page_range(page: int | None = None, pages: str | None = None) -> tuple[int, int] | None:
-    """(from, to) of a page argument, None for all pages; ``page`` wins over ``pages`` ("N" or "N-M")."""
+    """(from, to) of a page argument, None for all pages; ``page`` wins over ``pages`` ("N-M", ASCII digits, no blanks)."""
     if page:
         if page < 1:
             raise BadArguments(f"page must be at least 1, got {page}")
         return page, page
     if not pages:
         return None
-    found = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", pages)
+    found = re.fullmatch(r"\+?([0-9]{1,18})-\+?([0-9]{1,18})", pages)
     if not found:
-        raise BadArguments(f"invalid page range {pages!r}")
-    first, last = int(found[1]), int(found[2] or found[1])
+        raise BadArguments(f"invalid page range {pages!r}, expected N-M")
+    first, last = int(found[1]), int(found[2])
     if first < 1 or last < first:
         raise BadArguments(f"invalid page range {pages!r}")
     return first, last

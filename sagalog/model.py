@@ -33,7 +33,10 @@ MESSAGES = T.StructType(
 MESSAGE_COLUMNS = MESSAGES.fieldNames()
 #: Limits on request bodies, in bytes.
 MAX_SESSION_BODY, MAX_MESSAGE_BODY = 4 * 1024, 10 * 1024 * 1024
+#: A cap of 0 or less is no cap.
 DEFAULT_SESSION_CAP = 100
+#: What a Spark limit can hold.
+MOST_ROWS = (1 << 31) - 1
 
 
 class EngineError(Exception):
@@ -84,7 +87,8 @@ class MessageFilter:
         """From query parameters; a limit that is no positive integer is ignored."""
         limit = params.get("limit", "")
         known = {f.name: params.get(f.name, "") for f in fields(cls) if f.name != "limit"}
-        return cls(**known, limit=int(limit) if re.fullmatch(r"\+?\d+", limit) else 0)
+        number = int(limit) if re.fullmatch(r"\+?[0-9]{1,19}", limit) else 0
+        return cls(**known, limit=number if number < 1 << 63 else 0)
 
     @property
     def dimensions(self) -> dict[str, str]:
@@ -101,5 +105,6 @@ class Result:
     metadata: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
-    def failed(cls, e: EngineError) -> Result:
-        return cls(status="error", error={"code": e.code, "message": str(e)})
+    def failed(cls, e: Exception) -> Result:
+        """Anything that is no error of this engine is an internal one."""
+        return cls(status="error", error={"code": getattr(e, "code", "internal_error") if isinstance(e, EngineError) else "internal_error", "message": str(e) or type(e).__name__})

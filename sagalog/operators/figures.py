@@ -49,42 +49,55 @@ def _joined(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _components(keys: list[str]):
-    """Links sorted by page in, panels with their group out; only one page's links are held at a time."""
+    """Links sorted by page in, panels with their group and its votes out; only one page's links are held at a time."""
+    columns = [*keys, "ord", "group_id", "_h", "_v"]
+
+    def page(at, links):
+        group = dict(_joined([x[:2] for x in links]))
+        votes: dict[int, list[int]] = {}
+        for i, _, layout in links:
+            votes.setdefault(group[i], [0, 0])[layout == "vertical"] += 1
+        return [(*at, x, g, *votes[g]) for x, g in group.items()]
 
     def run(frames):
         at, links = None, []
         for pdf in frames:
             rows = []
-            for *key, i, j in zip(*[pdf[c].tolist() for c in [*keys, "i", "j"]], strict=True):
+            for *key, i, j, layout in zip(*[pdf[c].tolist() for c in [*keys, "i", "j", "layout"]], strict=True):
                 if key != at:
-                    rows += [(*at, *r) for r in _joined(links)] if at is not None else []
+                    rows += page(at, links) if at is not None else []
                     at, links = key, []
-                links.append((i, j))
-            yield pd.DataFrame(rows, columns=[*keys, "ord", "group_id"])
+                links.append((i, j, layout))
+            yield pd.DataFrame(rows, columns=columns)
         if at is not None:
-            yield pd.DataFrame([(*at, *r) for r in _joined(links)], columns=[*keys, "ord", "group_id"])
+            yield pd.DataFrame(page(at, links), columns=columns)
 
     return run
 
 
 def group_panels(images: DataFrame, keys: list[str], tol: float = TOLERANCE) -> DataFrame:
     """``images`` with group_id (smallest ``ord`` of the group) per page; only adjacent panels go through the union-find."""
+    return _grouped(images, keys, tol).drop("_h", "_v")
+
+
+def _grouped(images: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """The same with the numbers of horizontal and vertical pairs of the group."""
     links = adjacent_pairs(images, keys, tol)
     types = dict(images.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ord long, group_id long"
-    ordered = links.select(*keys, F.col("i").cast("long"), F.col("j").cast("long")).repartition(*keys).sortWithinPartitions(*keys)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ord long, group_id long, _h long, _v long"
+    ordered = links.select(*keys, F.col("i").cast("long"), F.col("j").cast("long"), "layout").repartition(*keys).sortWithinPartitions(*keys)
     linked = ordered.mapInPandas(_components(keys), schema)
-    return images.join(linked.withColumnRenamed("ord", "_ord"), [*[images[k] == linked[k] for k in keys], images["ord"] == F.col("_ord")], "left").select(*[images[c] for c in images.columns], F.coalesce("group_id", images["ord"].cast("long")).alias("group_id"))
+    return images.join(linked.withColumnRenamed("ord", "_ord"), [*[images[k] == linked[k] for k in keys], images["ord"] == F.col("_ord")], "left").select(*[images[c] for c in images.columns], F.coalesce("group_id", images["ord"].cast("long")).alias("group_id"), "_h", "_v")
 
 
 def figures(images: DataFrame, keys: list[str], tol: float = TOLERANCE) -> DataFrame:
     """One row per figure: layout by majority of its pairs (vertical wins ties), parts in display order, union box, canvas size."""
-    grouped = group_panels(images, keys, tol)
-    pairs = adjacent_pairs(images, keys, tol).withColumnRenamed("i", "ord")
-    votes = pairs.join(grouped.select(*keys, "ord", "group_id"), [*keys, "ord"]).groupBy(*keys, "group_id").agg(F.count_if(F.col("layout") == "horizontal").alias("_h"), F.count_if(F.col("layout") == "vertical").alias("_v"))
+    grouped = _grouped(images, keys, tol)
     part = F.struct("ord", "name", *BOX, *[c for c in ("width", "height") if c in images.columns])
     out = grouped.groupBy(*keys, "group_id").agg(
         F.count("*").alias("n_parts"),
+        F.max("_h").alias("_h"),
+        F.max("_v").alias("_v"),
         F.sort_array(F.collect_list(part)).alias("_parts"),
         F.min("bbox_x").alias("bbox_x"),
         F.min("bbox_y").alias("bbox_y"),
@@ -92,7 +105,6 @@ def figures(images: DataFrame, keys: list[str], tol: float = TOLERANCE) -> DataF
         (F.max(F.col("bbox_y") + F.col("bbox_h")) - F.min("bbox_y")).alias("bbox_h"),
         *([F.sum(x).alias(f"_sum_{x}") for x in ("width", "height")] + [F.max(x).alias(f"_max_{x}") for x in ("width", "height")] if "width" in images.columns else []),
     )
-    out = out.join(votes, [*keys, "group_id"], "left")
     out = out.withColumn("layout", F.when(F.col("n_parts") == 1, "").when(F.col("_h") > F.col("_v"), "horizontal").otherwise("vertical"))
     by = F.transform("_parts", lambda p: F.struct(F.when(F.col("layout") == "vertical", -p["bbox_y"]).when(F.col("layout") == "horizontal", p["bbox_x"]).otherwise(F.lit(0.0)).alias("at"), p["ord"].alias("ord"), p["name"].alias("name")))
     out = out.withColumn("parts", F.transform(F.sort_array(by), lambda p: p["name"])).withColumn("stitched_name", F.array_join("parts", "+"))

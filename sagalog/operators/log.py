@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import MESSAGE_COLUMNS, FilterRequired, InvalidArgument, MessageFilter
+from ..model import MESSAGE_COLUMNS, MOST_ROWS, FilterRequired, InvalidArgument, MessageFilter
 from ..plans.registry import TASK_STATUSES
 
 
@@ -24,7 +24,7 @@ def condition(wanted: MessageFilter) -> Column:
 def get_messages(messages: DataFrame, wanted: MessageFilter) -> DataFrame:
     """Matching messages, oldest first; a limit keeps the oldest."""
     out = messages.where(condition(wanted)).select(*MESSAGE_COLUMNS).orderBy("created_at", "id")
-    return out.limit(wanted.limit) if wanted.limit > 0 else out
+    return out.limit(wanted.limit) if 0 < wanted.limit <= MOST_ROWS else out
 
 
 def latest_message(messages: DataFrame, wanted: MessageFilter) -> DataFrame:
@@ -40,7 +40,7 @@ def latest_per_subject(messages: DataFrame, wanted: MessageFilter) -> DataFrame:
     rows = messages.where(condition(wanted) & F.col("subject_id").isNotNull() & (F.col("subject_id") != ""))
     rank = F.row_number().over(W.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("id")))
     out = rows.select(*MESSAGE_COLUMNS, rank.alias("_rank")).where("_rank = 1").drop("_rank").orderBy(F.desc("created_at"), F.desc("id"))
-    return out.limit(wanted.limit) if wanted.limit > 0 else out
+    return out.limit(wanted.limit) if 0 < wanted.limit <= MOST_ROWS else out
 
 
 def list_tasks(messages: DataFrame, status: str = "", limit: int = 0, type_name: str = "task", filter_first: bool = False) -> DataFrame:
@@ -81,10 +81,12 @@ def count_active(sessions: DataFrame) -> DataFrame:
 
 
 def admit_sessions(sessions: DataFrame, candidates: DataFrame, cap: int) -> DataFrame:
-    """Candidates in order of created_at and id, with ``admitted`` as long as the cap of active sessions lasts."""
+    """Candidates in order of created_at and id, with ``admitted`` as long as the cap of active sessions lasts; a cap of 0 or less admits all."""
+    if cap <= 0:
+        return candidates.withColumn("admitted", F.lit(True))
     room = sessions.where(F.col("status") == "active").agg((F.lit(cap) - F.count("*")).alias("room"))
     # a top-k of at most ``cap`` rows, so ranking them in one task is bounded
-    first = candidates.orderBy("created_at", "id").limit(max(cap, 0)).withColumn("rank", F.row_number().over(W.orderBy("created_at", "id")))
+    first = candidates.orderBy("created_at", "id").limit(cap).withColumn("rank", F.row_number().over(W.orderBy("created_at", "id")))
     taken = first.join(F.broadcast(room)).where("rank <= room").select("id")
     return candidates.join(taken.withColumn("admitted", F.lit(True)), "id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 

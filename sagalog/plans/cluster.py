@@ -15,10 +15,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests, one machine)."""
+    """The folder that all executors share; one of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="sagalog-")
         found = _OWN_DIRS[app]

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.rules import Schema, parse_schema
 from ..model import DuplicateType, InvalidArgument, NotFound, SchemaNotStrict
 
+#: States and fields of a task, and the example schemas.
 TASK_STATUSES = ("new", "in-progress", "done", "abandoned")
 TASK_SCHEMA = json.dumps(
     {
@@ -44,11 +46,18 @@ class MessageType:
     on_ingest: Callable[[Column], Column] | None = None
 
 
+def task_error(content: Column) -> Column:
+    """The hook of the task type: a status that is none of the known ones, should the schema ever let it through."""
+    status = F.get_json_object(content, "$.status")
+    known = F.coalesce(status.isin(*TASK_STATUSES), F.lit(False))
+    return F.when(~known, F.lit(f"task.status must be one of [{', '.join(TASK_STATUSES)}]"))
+
+
 class TypeRegistry:
     def __init__(self, builtins: bool = True):
         self._types: dict[str, MessageType] = {}
         if builtins:
-            self.register("task", TASK_SCHEMA)
+            self.register("task", TASK_SCHEMA, task_error)
 
     def register(self, name: str, schema: str | bytes, on_ingest: Callable[[Column], Column] | None = None) -> MessageType:
         if not name:
@@ -112,8 +121,6 @@ class ToolRegistry:
 
     def call(self, spark: SparkSession, name: str, arguments: dict) -> DataFrame:
         """Check the arguments with the same rules as message contents, then plan the query."""
-        from pyspark.sql import functions as F
-
         from ..functions.rules import violation
 
         if name not in self._tools:
@@ -125,8 +132,51 @@ class ToolRegistry:
         return tool.run(**arguments)
 
 
+def _plain(uri: str) -> str:
+    return uri.split("?", 1)[0].split("{", 1)[0]
+
+
 def resource_matches(pattern: str, uri: str) -> bool:
-    """Exact, or the same base before a query, fragment or template part."""
-    base = pattern.split("{", 1)[0]
-    plain = uri.split("?", 1)[0].split("#", 1)[0]
-    return uri == pattern or plain == pattern or ("{" in pattern and plain == base)
+    """Exact; a template by its base, with any query; anything else with a query or fragment behind it."""
+    if uri == pattern:
+        return True
+    if "{" in pattern:
+        return _plain(pattern) == _plain(uri)
+    return uri.startswith((pattern + "?", pattern + "#"))
+
+
+@dataclass(frozen=True)
+class Resource:
+    """A named view: ``read`` gets the whole URI, with its query, and returns rows or a JSON value."""
+
+    pattern: str
+    description: str
+    read: Callable[[str], object]
+
+    @property
+    def name(self) -> str:
+        base = _plain(self.pattern)
+        return base.split("://", 1)[1] if "://" in base else base
+
+
+class ResourceRegistry:
+    def __init__(self):
+        self._resources: dict[str, Resource] = {}
+
+    def register(self, pattern: str, description: str, read: Callable[[str], object]) -> None:
+        if not pattern:
+            raise InvalidArgument("resource needs a URI")
+        self._resources[pattern] = Resource(pattern, description, read)
+
+    def listing(self) -> list[dict]:
+        """What there is, in the order of the URIs."""
+        return [{"uri": k, "name": r.name, "description": r.description, "mimeType": "application/json"} for k, r in sorted(self._resources.items())]
+
+    def find(self, uri: str) -> Resource:
+        """The resource of a URI; an exact pattern before any other, then in the order of the patterns."""
+        if not uri:
+            raise InvalidArgument("uri is required")
+        found = self._resources.get(uri) or next((r for k, r in sorted(self._resources.items()) if resource_matches(k, uri)), None)
+        if found is None:
+            raise NotFound(f"resource not found: {uri}")
+        return found

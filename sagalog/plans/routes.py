@@ -49,6 +49,8 @@ class Routes:
             return 404, {"error": "no such route"}
         except EngineError as e:
             return e.status, {"error": str(e)}
+        except Exception as e:  # anything else is the server's fault
+            return 500, {"error": str(e) or type(e).__name__}
 
     @staticmethod
     def _body(body: bytes, most: int) -> dict:

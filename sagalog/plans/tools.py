@@ -16,12 +16,13 @@ from ..operators.captions import link_images
 from ..sources.manifest import read_manifest, write_manifest
 from ..sources.pdfs import image_manifest, pdf_files, pdf_images, pdf_pages, stitched_images
 from ..sources.store import MessageStore
-from .registry import TASK_STATUSES
+from .registry import TASK_STATUSES, ResourceRegistry
 
 #: Separators between pages: of the tool, of the command line, of the plain library call.
 TOOL_BREAK, FILE_BREAK, PLAIN_BREAK = "\f", "\n\f\n", "\n"
 _TEXT, _COUNT, _FLAG = {"type": "string"}, {"type": "integer", "minimum": 1}, {"type": "boolean"}
 _DIMENSIONS = {k: _TEXT for k in ("session_id", "role", "sender_id", "type", "subject_id")}
+#: Tools and their parameters.
 SCHEMAS: dict[str, tuple[dict, list[str]]] = {
     "create_session": ({"target": _TEXT, "metadata": _TEXT}, ["target"]),
     "deposit_message": (_DIMENSIONS | {"content": {"type": "object"}, "metadata": _TEXT}, ["session_id", "role", "type", "content"]),
@@ -54,6 +55,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: MessageStore):
         self.spark, self.store = spark, store
         self._tools: dict[str, tuple[Schema, Callable[..., object]]] = {}
+        self.resources = ResourceRegistry()
         for name, (properties, required) in SCHEMAS.items():
             self.register(name, json.dumps({"type": "object", "additionalProperties": False, "properties": properties, "required": required}), getattr(self, name))
 
@@ -69,20 +71,33 @@ class Engine:
     def call(self, name: str, arguments: dict | None = None) -> Result:
         if name not in self._tools:
             return Result.failed(NotFound(f'tool "{name}" is not registered'))
+        try:
+            return self._call(name, arguments)
+        except Exception as e:  # the envelope is the only way an error leaves
+            return Result.failed(e)
+
+    def read_resource(self, uri: str) -> Result:
+        """The envelope of a resource; it gets the whole URI."""
+        try:
+            out = self.resources.find(uri).read(uri)
+            return Result(data=rows_json(out) if isinstance(out, DataFrame) else out)
+        except Exception as e:
+            return Result.failed(e)
+
+    def _call(self, name: str, arguments: dict | None) -> Result:
         schema, run = self._tools[name]
         bad = self.spark.range(1).select(violation(F.lit(json.dumps(arguments or {})), schema, name).cast(VIOLATION).alias("v")).first()["v"]
         if bad is not None:
             return Result(status="error", error={"code": "schema_violation", "message": bad["message"], "details": {k: v for k, v in bad.asDict().items() if k != "message" and v is not None}})
-        try:
-            out = run(**(arguments or {}))
-        except EngineError as e:
-            return Result.failed(e)
+        out = run(**(arguments or {}))
         data = rows_json(out) if isinstance(out, DataFrame) else out
         return Result(data=data, metadata={"count": len(data)} if isinstance(data, list) else {})
 
     # --- the log ---
 
     def create_session(self, target: str, metadata: str = "") -> dict:
+        text_only("target", target)
+        text_only("metadata", metadata)
         ident = self.store.create_session(target, metadata or None)
         return rows_json(self.store.sessions.where(F.col("id") == ident))[0]
 
@@ -95,13 +110,15 @@ class Engine:
 
     def deposit_message(self, session_id: str, role: str, type: str, content, sender_id: str = "", subject_id: str = "", metadata: str = "") -> dict:
         text = content if isinstance(content, str) else json.dumps(content)
+        for what, value in (("session_id", session_id), ("role", role), ("type", type), ("sender_id", sender_id), ("subject_id", subject_id), ("metadata", metadata)):
+            text_only(what, value)
         if len(text.encode()) > MAX_MESSAGE_BODY:
             raise InvalidArgument(f"content is larger than {MAX_MESSAGE_BODY} bytes")
         row = [(session_id, role, type, text, sender_id, subject_id, metadata)]
-        bad = self.store.deposit(self.spark.createDataFrame(row, "session_id string, role string, type string, content string, sender_id string, subject_id string, metadata string")).first()
-        if bad is not None:
-            raise InvalidArgument(bad["error"])
-        return rows_json(self.store.latest_message(MessageFilter(session_id=session_id, role=role, type=type)))[0]
+        rejected, accepted = self.store.deposit_batch(self.spark.createDataFrame(row, "session_id string, role string, type string, content string, sender_id string, subject_id string, metadata string"))
+        if rejected is not None:
+            raise InvalidArgument(rejected.first()["error"])
+        return rows_json(accepted)[0]
 
     def get_messages(self, limit: int = 0, **dimensions: str) -> DataFrame:
         return self.store.get_messages(MessageFilter(**dimensions, limit=limit))
@@ -143,16 +160,29 @@ class Engine:
     def pdf_extract_images(self, path: str, out_dir: str, page: int = 0, pages: str = "", stitch: bool = True, stitch_tol: float = TOLERANCE) -> list[dict]:
         """Write the images and their manifest; the manifest comes back, never bytes."""
         one_range(page, pages)
-        found = pdf_images(pdf_files(self.spark, path)).where("error is null")
-        wanted = textclean.page_range(page, pages)
+        found = pdf_images(pdf_files(self.spark, path)).persist()
+        try:
+            return self._images(found, out_dir, textclean.page_range(page, pages), stitch, stitch_tol)
+        finally:
+            found.unpersist()
+
+    def _images(self, found: DataFrame, out_dir: str, wanted: tuple[int, int] | None, stitch: bool, stitch_tol: float) -> list[dict]:
+        # a file that can't be read has an error without a page; an image that was skipped has one
+        broken = found.where("error is not null and page is null").first()
+        if broken is not None:
+            raise EngineError(f"{broken['path']}: {broken['error']}")
+        found = found.where("error is null")
         if wanted:
             found = found.where(F.col("page").between(*wanted))
         found = (stitched_images(found, stitch_tol) if stitch else found).persist()
-        lines = image_manifest(found)
-        named = found.join(lines.select("path", "ord", "file"), ["path", "ord"])
-        named.select("file", "data").foreachPartition(_writer(out_dir))
-        write_manifest(lines, out_dir.rstrip("/") + "/manifest.tsv")
-        return rows_json(lines.orderBy("page", "ord").drop("path", "ord"))
+        try:
+            lines = image_manifest(found)
+            named = found.join(lines.select("path", "ord", "file"), ["path", "ord"])
+            named.select("file", "data").foreachPartition(_writer(out_dir))
+            write_manifest(lines, out_dir.rstrip("/") + "/manifest.tsv")
+            return rows_json(lines.orderBy("page", "ord").drop("path", "ord"))
+        finally:
+            found.unpersist()
 
     def pdf_clean_text(self, text: str, manifest_path: str = "", imgdir: str = "") -> dict:
         if bool(manifest_path) != bool(imgdir):
@@ -163,6 +193,11 @@ class Engine:
         return {"markdown": docs.first()["text"]}
 
 
+def text_only(what: str, value) -> None:
+    if not isinstance(value, str):
+        raise InvalidArgument(f"{what} must be a string")
+
+
 def one_range(page: int, pages: str) -> None:
     if page and pages:
         raise BadArguments("page and pages are mutually exclusive")

@@ -15,12 +15,17 @@ from .pdfdoc.text import page_texts
 
 PAGES = "path string, page int, text string, error string"
 IMAGES = "path string, page int, ord long, name string, width int, height int, bpc int, colorspace string, filter string, ext string, data binary, bbox_x double, bbox_y double, bbox_w double, bbox_h double, error string"
+#: The columns of a manifest.
 MANIFEST = ["file", "page", "name", "width", "height", "bpc", "colorspace", "filter", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the files under ``path`` that are not larger than the cap."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_FILE).select("path", "content")
+    """(path, length, content) of the files under ``path``; a file above the cap has no content and becomes a row with an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = found.where(F.col("length") <= MAX_FILE).select("path", "length", "content")
+    # a scan of its own, so that the contents of these are not read
+    large = found.where(F.col("length") > MAX_FILE).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -29,15 +34,26 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 def _files(batches):
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            yield path.as_py(), content.as_py()
+        for path, length, content in zip(*batch.columns, strict=True):
+            yield path.as_py(), length.as_py(), content.as_py()
+
+
+def _document(length: int | None, content: bytes | None) -> Document:
+    if content is None:
+        raise ValueError(f"file too large: {length} bytes (max {MAX_FILE})" if length and length > MAX_FILE else "file has no content")
+    return Document(content)
+
+
+def _parts(files: DataFrame) -> DataFrame:
+    length = F.col("length") if "length" in files.columns else F.octet_length("content").cast("long")
+    return files.select("path", length.alias("length"), "content")
 
 
 def _pages(batches):
     schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
-    for path, content in _files(batches):
+    for path, length, content in _files(batches):
         try:
-            rows = [{"path": path, "page": i, "text": text.encode("utf-8", "replace").decode()} for i, text in enumerate(page_texts(Document(content)), 1)]
+            rows = [{"path": path, "page": i, "text": text.encode("utf-8", "replace").decode()} for i, text in enumerate(page_texts(_document(length, content)), 1)]
         except Exception as e:  # a hostile file is an error row, not a lost task
             rows = [{"path": path, "error": str(e) or type(e).__name__}]
         yield _rows(rows, schema)
@@ -45,7 +61,7 @@ def _pages(batches):
 
 def pdf_pages(files: DataFrame) -> DataFrame:
     """(path, page, text, error); a file that can't be read is one row with its error."""
-    return files.select("path", "content").mapInArrow(_pages, PAGES)
+    return _parts(files).mapInArrow(_pages, PAGES)
 
 
 _COLUMNS = [c.split()[0] for c in IMAGES.split(", ")]
@@ -56,10 +72,10 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double"
 
 def _images(batches):
     schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in IMAGES.split(", ")])
-    for path, content in _files(batches):
+    for path, length, content in _files(batches):
         rows, n = [], 0
         try:
-            doc = Document(content)
+            doc = _document(length, content)
             for i, page in enumerate(doc.pages(), 1):
                 found, skipped = page_images(doc, page)
                 for row in found:
@@ -73,7 +89,7 @@ def _images(batches):
 
 def pdf_images(files: DataFrame) -> DataFrame:
     """One row per image; images and files that were skipped are rows with an error and no data."""
-    return files.select("path", "content").mapInArrow(_images, IMAGES)
+    return _parts(files).mapInArrow(_images, IMAGES)
 
 
 def stitched_images(images: DataFrame, tol: float = TOLERANCE) -> DataFrame:

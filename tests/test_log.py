@@ -152,3 +152,9 @@ def test_admission_query_counts_active_sessions(spark, monkeypatch):
     monkeypatch.setattr(log, "admit_sessions", lambda s, c, cap: (seen.update(n=s.count(), cap=cap), real(s, c, cap))[1])
     got = catalog.QUERIES["active_session_cap_admission"](spark, "/root/testdata/sf0.001")
     assert seen["n"] > 0 and seen["cap"] == seen["n"] + 100 and got.where("admitted").count() == 100
+
+
+def test_no_cap_admits_all(spark):
+    rows = spark.createDataFrame([(f"s{i}", "active", i) for i in range(5)], "id string, status string, at long").selectExpr("id", "status", "timestamp_seconds(at) as created_at")
+    assert log.admit_sessions(rows, rows, 0).where("admitted").count() == 5 == log.admit_sessions(rows, rows, -1).where("admitted").count()
+    assert log.admit_sessions(rows, rows, 7).where("admitted").count() == 2

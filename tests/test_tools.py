@@ -44,9 +44,9 @@ def test_document_tools(engine, tmp_path):
     (tmp_path / "a.pdf").write_bytes(samples.pdf_of(20, "low"))
     path = str(tmp_path / "a.pdf")
     assert engine.call("pdf_extract_text", {"path": path}).data == {"text": "Order 20\npriority low\fFigure 20-1. Panels", "page_count": 2}
-    assert engine.call("pdf_extract_text", {"path": path, "pages": "2"}).data["text"] == "Figure 20-1. Panels"
+    assert engine.call("pdf_extract_text", {"path": path, "pages": "2-2"}).data["text"] == "Figure 20-1. Panels"
     assert engine.call("pdf_extract_text", {"path": path, "pages": "2-9"}).error["code"] == "schema_violation"
-    assert engine.call("pdf_extract_text", {"path": path, "page": 1, "pages": "2"}).error["code"] == "schema_violation"
+    assert engine.call("pdf_extract_text", {"path": path, "page": 1, "pages": "2-2"}).error["code"] == "schema_violation"
     assert [r["page"] for r in engine.call("pdf_extract_pages", {"path": path}).data] == [1, 2]
     out = str(tmp_path / "images")
     rows = engine.call("pdf_extract_images", {"path": path, "out_dir": out}).data
@@ -59,7 +59,34 @@ def test_document_tools(engine, tmp_path):
     single = engine.call("pdf_extract_images", {"path": path, "out_dir": out, "stitch": False}).data
     assert [r["name"] for r in single] == ["Im0", "Im1"]
     (tmp_path / "b.pdf").write_bytes(b"junk")
-    assert engine.call("pdf_extract_pages", {"path": str(tmp_path / "b.pdf")}).error["code"] == "internal_error"
+    for name, more in (("pdf_extract_pages", {}), ("pdf_extract_images", {"out_dir": out})):
+        assert engine.call(name, {"path": str(tmp_path / "b.pdf")} | more).error["code"] == "internal_error"
+        assert engine.call(name, {"path": str(tmp_path / "none.pdf")} | more).error["code"] == "internal_error"
+    assert engine.call("pdf_extract_text", {"path": path, "pages": "2"}).error["code"] == "schema_violation"
+
+
+def test_no_cap_and_resources(spark, tmp_path):
+    engine = Engine(spark, MessageStore(spark, str(tmp_path), session_cap=0))
+    assert [engine.call("create_session", {"target": t}).status for t in "pqr"] == ["ok"] * 3
+    engine.resources.register("log://open", "open sessions", lambda uri: engine.store.sessions.where("status = 'active'"))
+    assert len(engine.read_resource("log://open?x=1").data) == 3 and engine.read_resource("log://shut").error["code"] == "not_found"
+    engine.resources.register("log://bad", "fails", lambda uri: 1 / 0)
+    assert engine.read_resource("log://bad").error["code"] == "internal_error"
+
+
+def test_single_deposits_keep_few_segments(spark, tmp_path):
+    store = MessageStore(spark, str(tmp_path))
+    engine = Engine(spark, store)
+    session = engine.call("create_session", {"target": "p"}).data["id"]
+    task = {"session_id": session, "role": "r", "type": "task", "content": {"title": "t", "status": "new"}}
+    got = [engine.call("deposit_message", task | {"subject_id": f"s{k}"}).data for k in range(18)]
+    assert [r["id"] for r in got] == list(range(1, 19)) and [r["subject_id"] for r in got] == [f"s{k}" for k in range(18)]
+    assert len(store._state()["messages"]) == 3 and store.messages.count() == 18
+    batch = spark.createDataFrame([(session, "r", "task", '{"title":"t","status":"new"}' if k % 3 else "{}") for k in range(60)], "session_id string, role string, type string, content string").repartition(5)
+    assert store.deposit(batch).count() == 20
+    assert sorted(r["id"] for r in store.messages.collect()) == list(range(1, 59))
+    before = store.messages.count()
+    assert store.vacuum() >= 16 and store.messages.count() == before and store.vacuum() == 0
 
 
 def test_routes(spark, tmp_path):
@@ -69,6 +96,7 @@ def test_routes(spark, tmp_path):
     ask = routes.request
     assert ask("GET", "/api/sessions") == (200, [])
     status, session = ask("POST", "/api/sessions", body=b'{"target":"x"}')
+    assert ask("POST", "/api/sessions", body=b'{"target":5}')[0] == 400
     assert status == 201 and ask("POST", "/api/sessions", body=b'{"target":"y"}')[0] == 503
     assert [ask("POST", "/api/sessions", body=b)[0] for b in (b"[]", b"{", b"{}", b'{"target":"' + b"x" * 5000 + b'"}')] == [400] * 4
     home = f"/api/sessions/{session['id']}"
@@ -82,4 +110,8 @@ def test_routes(spark, tmp_path):
     assert ask("POST", "/api/sessions/none/messages", body=json.dumps(message).encode())[0] == 400
     assert ask("GET", "/api/messages")[0] == 400 and ask("GET", "/api/messages", {"subject_id": "S", "format": "raw"})[1][0]["subject_id"] == "S"
     assert ask("GET", "/api/messages/latest", {"subject_id": "S", "limit": "x"})[1]["session_id"] == session["id"]
+    assert len(ask("GET", "/api/messages", {"subject_id": "S", "limit": "99999999999"})[1]) == 1
+    store, routes.engine.store = routes.engine.store, None
+    assert ask("GET", home + "/messages")[0] == 500
+    routes.engine.store = store
     assert ask("DELETE", home) == (204, None) == ask("DELETE", home) and ask("GET", "/api/nothing")[0] == 404
