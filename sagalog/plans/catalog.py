@@ -122,11 +122,9 @@ def get_latest_message_cross_session(spark, sf_dir):
     return _shown(log.latest_message(V.messages(spark, sf_dir), MessageFilter(type="error", role="orchestrator")))
 
 
-@query(f"SELECT id, target, status, {_STAMP}, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM (SELECT * FROM ({V.SESSIONS_SQL}) s ORDER BY created_at DESC, id DESC LIMIT 200) x")
+@query(f"SELECT id, target, status, {_STAMP}, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM ({V.SESSIONS_SQL}) s")
 def list_sessions_newest_first(spark, sf_dir):
-    top = log.list_sessions(V.sessions(spark, sf_dir)).limit(200)
-    # place is numbered over the 200 rows of a page of the listing
-    return top.select("id", "target", "status", V.stamp("created_at").alias("created_at"), F.row_number().over(W.orderBy(F.desc(top["created_at"]), F.desc("id"))).cast("long").alias("place"))
+    return log.numbered_sessions(V.sessions(spark, sf_dir)).select("id", "target", "status", V.stamp("created_at").alias("created_at"), "place")
 
 
 @query(f"SELECT id, target, status, {_STAMP}, metadata FROM ({V.SESSIONS_SQL}) s")
@@ -339,6 +337,7 @@ def _re(expr: str, pattern: str, into: str) -> str:
     return f"regexp_replace({expr}, '{pattern}', '{into}', 'g')"
 
 
+#: The patterns of the text repairs, said once more for the oracle.
 _REJOINED = "text"
 for _p, _i in (
     (rf"({_W}+)\s*\n\s*-\s*\n\s*({_W}+)", r"\1-\2"),
@@ -375,6 +374,7 @@ _LINES = f"""SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id,
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM ({V.CAPTIONED_SQL}) d) x) y"""
 _NUMBERED = rf"""SELECT doc_id, line_no, line, coalesce(last_value(TRY_CAST(nullif(regexp_extract(line, '^<!-- page (\d+) -->', 1), '') AS INTEGER) IGNORE NULLS)
     OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page FROM ({_LINES}) z"""
+#: The caption labels, said once more for the oracle.
 _E = r"(?:[.\s—–:]|$)"
 _LABEL = "coalesce(" + ", ".join(
     f"nullif(regexp_extract(line, '^({p}){_E}', 1), '')"
