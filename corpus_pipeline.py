@@ -3,14 +3,17 @@
 Every stage is written as Parquet to the shared folder and read back as the
 next one's input, so a lost executor costs at most one stage's tasks.  Rows with equal
 or null ids are documents of their own in every stage; of ids in an order, null
-is the smallest.
+is the smallest.  A null text is an empty one, a null language or source is a
+value of its own, texts of any length are taken whole, an empty table gives an
+empty table.  All stages but the last return the columns they got, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagalog.llm.common import by_row, materialize
+from sagalog.llm.common import materialize
 from sagalog.llm.exact_dedup import exact_dedup
 from sagalog.llm.mixing import mixed_documents
 from sagalog.llm.near_dedup import near_dedup
@@ -21,31 +24,43 @@ from sagalog.plans.cluster import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are multivariate outliers go."""
+    """Documents that fail the base rules or are multivariate outliers go.
+
+    Null, empty and short texts fail the base rules; rows repeated word for word are judged alike.
+    """
     ship(spark)
-    return by_row(quality_filter, docs)
+    return quality_filter(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays.
+
+    Null and empty texts are one group; of rows with the same id and text one stays.
+    """
     ship(spark)
-    return by_row(exact_dedup, docs)
+    return exact_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
+    """Of each component of near duplicates (word shingles at 85 %) the document with the smallest id stays.
+
+    Texts without words are near to nothing and stay.
+    """
     ship(spark)
-    return by_row(near_dedup, docs)
+    return near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: one row per document and pass, with the words that the pass takes."""
+    """Sources at their target weights: one row per document and pass, with the words that the pass takes.
+
+    Texts without words have none to take and give no row.
+    """
     ship(spark)
-    return by_row(mixed_documents, docs)
+    return mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a packed sequence."""
+    """One row per piece of a packed sequence; an empty text is its end token, rows with equal ids are packed each on its own."""
     ship(spark)
     return pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
