@@ -354,52 +354,43 @@ def _components(src: DataFrame, percent: int, same: DataFrame | None = None) ->
     reps = materialize(reps, "reps")
     slim = materialize(marks.select("doc_id", "n", "digest"), "slim")
     drop_scratch(marks)
-    members, told = _buckets(reps)
-    edges = _meeting(members, told, reps).mapInArrow(_sketched(percent), "a long, b long")
+    members = _buckets(reps)
+    edges = _meeting(members, reps).mapInArrow(_sketched(percent), "a long, b long")
     nodes = _classes(edges, reps)
     links = materialize(_shipped(src, nodes.select("rep", "class", "own")).mapInArrow(_confirmed(percent), "a long, b long"), "links")
     # every text met one block, so these links are stars around the smallest texts already
     whole = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     links, whole = _dealt_anew(src, nodes, links, whole, percent)
-    more = _across(src, reps, members, told, nodes, whole, percent)
+    more = _across(src, reps, members, nodes, whole, percent)
     if same is not None:
         whole = components((links if more is None else links.unionByName(more)).unionByName(same))
     elif more is not None:
         whole = _relabelled(whole, components(more))
-    for gone in (reps, members, told, nodes):
+    for gone in (reps, members, nodes):
         drop_scratch(gone)
     several = several.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("whole"))
     out = attach(slim, materialize(several, "copies"), ["digest"], "copies").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("whole", "component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, told) of the band buckets with two texts or more; of buckets with equal members one.
-
-    members: bucket, rep.  told: bucket, c (texts), blocks.  A bucket of two is
-    known from its smallest and largest member; only the members of larger ones
-    are fetched by a join.
-    """
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, rep, blocks) of the band buckets with two texts or more; of buckets with equal members one."""
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     met = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    met = materialize(met, "met")
-    pairs = materialize(met.where("c = 2").groupBy("low", "high").agg(F.min("bucket").alias("bucket")), "pairs")
-    large = met.where("c > 2").select("bucket", "c")
-    many = materialize(attach(sifted(banded, large, ["bucket"]), large, ["bucket"], "c", "inner").select("bucket", "rep"), "many")
-    alike = many.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"))
-    first = materialize(alike.groupBy("c", "low", "h").agg(F.min("bucket").alias("bucket")).select("bucket", "c"), "first")
-    many = attach(many, first, ["bucket"], "c", "inner").select("bucket", "rep")
-    members = materialize(many.unionByName(pairs.select("bucket", F.explode(F.array("low", "high")).alias("rep"))), "members")
-    two = pairs.select("bucket", F.lit(2).cast("long").alias("c"))
-    told = materialize(first.unionByName(two).withColumn("blocks", F.ceil(F.col("c") / BLOCK_TEXTS).cast("int")), "told")
-    for gone in (met, pairs, first):
+    met = materialize(met.select("bucket", "c"), "met")
+    many = materialize(attach(sifted(banded, met, ["bucket"]), met, ["bucket"], "c", "inner").select("bucket", "rep", "c"), "many")
+    alike = many.groupBy("bucket").agg(F.max("c").alias("c"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"))
+    first = materialize(alike.groupBy("c", "low", "h").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("c").alias("k")), "first")
+    members = attach(many, first, ["bucket"], "k", "inner").select("bucket", "rep", F.ceil(F.col("c") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    members = materialize(members, "members")
+    for gone in (met, many, first):
         drop_scratch(gone)
-    return members, told
+    return members
 
 
-def _meeting(members: DataFrame, told: DataFrame, reps: DataFrame) -> DataFrame:
+def _meeting(members: DataFrame, reps: DataFrame) -> DataFrame:
     """Sorted rows (bucket, own, rep, n, sketch): every member of a bucket once, in one of the bucket's blocks."""
-    dealt = attach(members, told, ["bucket"], "c", "inner").select("bucket", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int").alias("own"), "rep")
+    dealt = members.select("bucket", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int").alias("own"), "rep")
     dealt = dealt.join(sifted(reps.select("rep", "n", "sketch"), members, ["rep"]).hint("merge"), "rep")
     return dealt.select("bucket", "own", "rep", "n", "sketch").repartition("bucket", "own").sortWithinPartitions("bucket", "own")
 
@@ -455,24 +446,21 @@ def _dealt_anew(src, nodes, links, whole, percent) -> tuple[DataFrame, DataFrame
     return links, whole
 
 
-def _across(src, reps, members, told, nodes, whole, percent) -> DataFrame | None:
+def _across(src, reps, members, nodes, whole, percent) -> DataFrame | None:
     """Links between texts of one bucket that never met: those of cut buckets and of cut classes.
 
     Only buckets whose texts are not yet one component are looked at.  The
     texts of the commonest component of a bucket lie in one block each; only the
     others meet all blocks.
     """
-    wide = materialize(nodes.where("blocks > 1").select("rep", "class"), "wide")
-    cut = told.where("blocks > 1").select("bucket", "c")
-    if not filled(wide) and not filled(cut):
+    wide = nodes.where("blocks > 1").select("rep", F.lit(True).alias("wide"))
+    if not filled(wide) and not filled(members.where("blocks > 1")):
         return None
-    touched = members.join(wide.select("rep"), "rep", "left_semi").select("bucket")
-    due = materialize(cut.select("bucket").unionByName(touched).distinct().join(told, "bucket"), "due")
-    rows = attach(sifted(members, due, ["bucket"]), due, ["bucket"], "c", "inner")
-    rows = rows.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "blocks", F.coalesce("component", "rep").alias("part"))
+    known = whole.select(F.col("node").alias("rep"), "component")
+    rows = members.join(wide, "rep", "left").join(known, "rep", "left").select("bucket", "rep", "blocks", F.coalesce("wide", F.col("blocks") > 1).alias("due"), F.coalesce("component", "rep").alias("part"))
     rows = materialize(rows, "parted")
-    parts = rows.groupBy("bucket", "part").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("c"), F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main"))
-    parts = materialize(parts.where("parts > 1").select("bucket", "c", "main"), "parts")
+    parts = rows.groupBy("bucket", "part").agg(F.count("*").alias("k"), F.max("due").alias("due")).groupBy("bucket").agg(F.sum("k").alias("c"), F.count("*").alias("parts"), F.max("due").alias("due"), F.max_by("part", F.struct("k", "part")).alias("main"))
+    parts = materialize(parts.where("parts > 1 and due").select("bucket", "c", "main"), "parts")
     if not filled(parts):
         return None
     rows = attach(rows, parts, ["bucket"], "c", "inner")

@@ -159,8 +159,8 @@ def test_near_rows_grow_in_proportion(spark, monkeypatch):
         sent[-1] += wanted.count()
         return shipped(src, wanted)
 
-    def met(members, told, reps):
-        out = meeting(members, told, reps)
+    def met(members, reps):
+        out = meeting(members, reps)
         sent[-1] += out.count()
         return out
 
