@@ -10,9 +10,10 @@ with a notice or a name of that family.
 
 The main path is one projection of DataFrame functions, without any shuffle:
 texts are cut into paragraphs with their lines joined, into their sentences, and
-once more line by line.  Word pairs are found by hash in a table with two places
-for each.  A part that shares no pair with any notice or name can't stand
-whatever its scores; only such parts are left unscored.
+once more line by line.  Words and pairs are found by hash in a table with two
+places for each.  A paragraph that shares no telling pair with any notice or
+name holds no part that could stand whatever its scores; only such paragraphs,
+and such parts of the others, are left unscored.
 """
 
 from __future__ import annotations
@@ -296,7 +297,6 @@ ASIDES = [
 #: A part with one of these is reported even if no family is found in it; it decides nothing else.
 CUES = r"licen[cs]|copyright|all rights reserved|public domain|redistribut|permission|proprietary|mozilla public|warrant"
 PARAGRAPH = r"\n[\x20\x09]*\n\s*"
-WRAP = r"(?<!\n)\n(?!\n)"
 SENTENCE = r"\n+|(?<=[.!?])[\x20\x09]+(?=\p{Lu})"
 TOKEN = r"[\p{L}\p{N}]+"
 #: Words that make no pair with each other that would count as shared with a notice.
@@ -410,13 +410,19 @@ def shapes() -> dict[str, list[list[str]]]:
     return {f: [s for s in (telling(tokens(t)) for t in [*TEMPLATES[f], *NAMES.get(f, ())]) if s] for f in TEMPLATES}
 
 
+def gram_hash(gram: str) -> int:
+    """Of a word its hash, of a pair both words' hashes crossed; as 64 bits without a sign."""
+    import xxhash
+
+    first, *second = (xxhash.xxh64_intdigest(w.encode(), 42) for w in gram.split(" "))
+    return (first ^ (second[0] << 1)) & ((1 << 64) - 1) if second else first
+
+
 class Table:
-    """Rows of values found by the hash of a string at one of two places, as array literals."""
+    """Rows of values found by the hash of a word or pair at one of two places, as array literals."""
 
     def __init__(self, rows: dict[str, object]):
-        import xxhash
-
-        key = {xxhash.xxh64_intdigest(k.encode(), 42): v for k, v in rows.items()}
+        key = {gram_hash(k): v for k, v in rows.items()}
         self.size = 4 * len(key) + 17
         while True:
             at: dict[int, int] = {}
@@ -446,7 +452,7 @@ class Table:
         return False
 
     def lookup(self):
-        """A function string column -> number of its row, 0 if it has none."""
+        """A function: column of a gram's hash -> number of its row, 0 if it has none."""
         hashes, numbers = (F.from_json(F.lit(json.dumps(x)), t) for x, t in ((self.hashes, "array<bigint>"), (self.numbers, "array<int>")))
         place = lambda h: F.pmod(h, F.lit(self.size)).cast("int")
 
@@ -454,7 +460,7 @@ class Table:
             first, second = place(h), place(F.shiftright(h, 21))
             return F.when(hashes[first] == h, numbers[first]).when(hashes[second] == h, numbers[second]).otherwise(F.lit(0))
 
-        return lambda c: find(F.xxhash64(c))
+        return find
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,36 +482,47 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     known = Table(model["weights"])
     number, rows = known.lookup(), literal(known.rows, "array<array<double>>")
     templates = literal(shapes(), "map<string,array<array<string>>>")
-    shared = Table({p: 1 for own in shapes().values() for s in own for p in s}).lookup()
+    telling_grams = sorted({p for own in shapes().values() for s in own for p in s})
+    shared = Table({p: 1 for p in telling_grams}).lookup()
+    # the first words of telling pairs, and the words that tell alone: most paragraphs have none, which is soon seen
+    opening = Table({p.split(" ")[0]: 1 for p in telling_grams}).lookup()
     plain = F.array(*[F.lit(x) for x in PLAIN])
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
-    joined = F.regexp_replace(F.regexp_replace(text, PARAGRAPH, "\n\n"), WRAP, " ")
-    whole = F.when(F.instr(joined, ".") > 0, F.split(joined, r"\n+")).otherwise(F.array())
-    lines = F.when(F.instr(text, "\n") > 0, F.split(text, SENTENCE)).otherwise(F.array())
-    out = df.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.concat(whole, F.split(joined, SENTENCE), lines)).alias("_found"))
 
     def cut(part):
-        return F.struct(part.alias("text"), F.regexp_extract_all(F.lower(part), F.lit(f"({TOKEN})"), 1).alias("words"))
+        words = F.regexp_extract_all(F.lower(part), F.lit(f"({TOKEN})"), 1)
+        return F.struct(part.alias("text"), words.alias("words"), F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
 
-    def paired(c):
-        words, most = c["words"], F.greatest(F.size(c["words"]) - 1, F.lit(1))
-        two = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-        return F.struct(c["text"].alias("text"), words.alias("words"), two.alias("pairs"), F.lower(c["text"]).rlike(CUES).alias("cue"))
+    def crossed(hashes):
+        most = F.greatest(F.size(hashes) - 1, F.lit(1))
+        two = F.zip_with(F.slice(hashes, 1, most), F.slice(hashes, 2, most), lambda a, b: a.bitwiseXOR(F.shiftleft(b, 1)))
+        return F.when(F.size(hashes) > 1, two).otherwise(F.array().cast("array<bigint>"))
 
-    # a part that shares nothing with any notice or name has an overlap of 0 whatever its family
-    hopeful = lambda c: F.exists(c["pairs"], lambda p: shared(p) > 0) | F.exists(c["words"], lambda p: shared(p) > 0)
-    out = out.withColumn("_cut", F.transform("_found", cut))
-    out = out.withColumn("_two", F.transform("_cut", paired))
-    out = out.withColumn("_kept", F.filter("_two", lambda c: c["cue"] | hopeful(c)))
+    def hopeful(c):
+        found = F.exists(crossed(c["hashes"]), lambda h: shared(h) > 0) | F.exists(c["hashes"], lambda h: shared(h) > 0)
+        return F.when(F.exists(c["hashes"], lambda h: opening(h) > 0), found).otherwise(F.lit(False))
+
+    cued = lambda c: F.lower(c["text"]).rlike(CUES)
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
+    out = df.select(F.col(id_col).alias("doc_id"), F.transform(F.split(text, PARAGRAPH), cut).alias("_paragraphs"))
+    # the pairs of every sentence and line of a paragraph are pairs of the paragraph, so none that could stand is lost
+    out = out.withColumn("_some", F.transform(F.filter("_paragraphs", lambda c: cued(c) | hopeful(c)), lambda c: c["text"]))
+
+    def parts(raw):
+        joined = F.trim(F.regexp_replace(raw, r"\n+", " "))
+        return F.concat(F.array(joined), F.split(joined, SENTENCE), F.when(F.instr(raw, "\n") > 0, F.split(raw, SENTENCE)).otherwise(F.array().cast("array<string>")))
+
+    out = out.withColumn("_cut", F.transform(F.array_distinct(F.flatten(F.transform("_some", parts))), cut))
+    out = out.withColumn("_two", F.transform(F.filter("_cut", lambda c: cued(c) | hopeful(c)), lambda c: F.struct(c["text"].alias("text"), c["words"].alias("words"), c["hashes"].alias("hashes"), cued(c).alias("cue"))))
 
     def logits(c):
-        own = F.filter(F.transform(F.array_distinct(F.concat(c["words"], c["pairs"])), number), lambda k: k > 0)
+        own = F.filter(F.transform(F.array_distinct(F.concat(c["hashes"], crossed(c["hashes"]))), number), lambda k: k > 0)
         z = F.aggregate(own, bias, lambda acc, k: F.zip_with(acc, rows[k - 1], lambda a, b: a + b))
-        split = F.transform(c["pairs"], lambda p: F.split(p, " "))
-        tell = F.transform(F.filter(split, lambda p: ~(F.array_contains(plain, p[0]) & F.array_contains(plain, p[1]))), lambda p: F.array_join(p, " "))
-        return F.struct(c["text"].alias("text"), F.array_distinct(F.concat(tell, c["words"])).alias("own"), F.greatest(F.size(F.array_distinct(tell)), F.lit(1)).alias("size"), c["cue"].alias("cue"), z.alias("z"))
+        words, most = c["words"], F.greatest(F.size(c["words"]) - 1, F.lit(1))
+        two = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.when(~(F.array_contains(plain, a) & F.array_contains(plain, b)), F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+        tell = F.array_distinct(F.array_compact(two))
+        return F.struct(c["text"].alias("text"), F.array_distinct(F.concat(tell, words)).alias("own"), F.greatest(F.size(tell), F.lit(1)).alias("size"), c["cue"].alias("cue"), z.alias("z"))
 
-    out = out.withColumn("_z", F.transform("_kept", logits))
+    out = out.withColumn("_z", F.transform("_two", logits))
 
     def softmax(c):
         top = F.array_max(c["z"])
