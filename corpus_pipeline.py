@@ -22,6 +22,9 @@ from sagalog.llm.quality import quality_filter
 from sagalog.llm.queries import tokenizer_file
 from sagalog.plans.cluster import ship
 
+#: Similarity of word 5-shingles, in percent, from which two texts are near duplicates.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are multivariate outliers go.
@@ -42,12 +45,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (word shingles at 85 %) the document with the smallest id stays.
+    """Of each component of near duplicates (word shingles at NEAR_PERCENT) the document with the smallest id stays.
 
     Texts without words are near to nothing and stay.
     """
     ship(spark)
-    return near_dedup(docs)
+    return near_dedup(docs, percent=NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
