@@ -608,7 +608,7 @@ def test_pipeline(spark):
     second = {r["doc_id"]: r["text"] for r in stage["exact dedup"].collect()}
     assert set(second) == set(best.values())
     third = {r["doc_id"] for r in stage["MinHash near-dedup"].collect()}
-    assert third == {i for i, (_, c) in brute_near(second.items()).items() if i == c}
+    assert third == {i for i, (_, c) in brute_near(second.items(), cp.NEAR_PERCENT).items() if i == c}
     mixed = stage["mixing sources to target weights"].collect()
     words = mixing.mixed_words(stage["MinHash near-dedup"]).agg(F.sum("taken")).first()[0]
     assert sum(len(WORD.findall(r["text"])) for r in mixed) == words
