@@ -108,8 +108,9 @@ def _tokenised(path: str, size: int, end_id: int):
 
 def _packed(size: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="first")
-        ids, totals, crcs, group = pdf["doc_id"].tolist(), pdf["doc_tokens"].tolist(), pdf["crcs"].tolist(), int(pdf["grp"].iloc[0])
+        pdf = pdf.sort_values(["known", "doc_id", "doc_tokens"], kind="stable")
+        ids = [i if known else None for i, known in zip(pdf["doc_id"].tolist(), pdf["known"].tolist(), strict=True)]
+        totals, crcs, group = pdf["doc_tokens"].tolist(), pdf["crcs"].tolist(), int(pdf["grp"].iloc[0])
         tails = [(i, t % size) for i, t in enumerate(totals) if t % size]
         where = first_fit_decreasing([s for _, s in tails], size)
         base = group << 40
@@ -120,7 +121,7 @@ def _packed(size: int):
                 rows.append((ids[i], k * size, size, crcs[i][k], t, base + bins, 0))
                 bins += 1
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
         return out
 
     return run
@@ -131,7 +132,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     A document's tokens are its ids and then ``end_id``; a null or empty text
     has that id only.  A document is cut at multiples of ``size``.  Rows with
-    equal ids are packed as documents of their own.  An empty table gives an
+    equal or null ids are packed as documents of their own.  An empty table gives an
     empty result.
     """
     small_batches(df.sparkSession)
@@ -139,6 +140,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = src.mapInArrow(_tokenised(tokenizer_path, size, end_id), "doc_id long, doc_tokens long, crcs array<long>")
     dealt = tokens.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.monotonically_increasing_id()), F.lit(groups)))
+    # a null among the ids would make them floats in pandas, which hold 53 bits only
+    dealt = dealt.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     return dealt.groupBy("grp").applyInPandas(_packed(size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
