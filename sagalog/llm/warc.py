@@ -281,10 +281,9 @@ def _records(frames):
 
 
 def _record_frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-    for name in ("page_id", "refers_to"):
-        out[name] = out[name].astype("Int64")
-    return out
+    names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+    # ids beside nulls would become floats, which hold 53 bits only
+    return pd.DataFrame({name: pd.array([r[name] for r in rows], "Int64") if name in ("page_id", "refers_to") else [r[name] for r in rows] for name in names})
 
 
 def _payloads(lines: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
