@@ -304,6 +304,8 @@ def test_packing(spark):
     for _, seq in got.sort_values("offset").groupby("sequence_id"):
         assert seq["offset"].tolist() == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 1024
     assert packing.pack(docs(spark, rows).limit(0), path).count() == 0
+    far = [None, (1 << 53) + 1, (1 << 53) + 2, None, -(1 << 62) - 1]  # ids that a float can't hold, beside nulls
+    assert Counter(r["doc_id"] for r in packing.pack(docs(spark, [(i, "a b", None, None) for i in far]), path).collect()) == Counter(far)
     assert packing.padded_length(512) == 512 and packing.padded_length(513) == 1024
 
 
@@ -441,6 +443,9 @@ def test_warc_null_and_repeated_ids(spark):
     directory = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"] or -1, bytes(r["payload"]).decode()) for r in warc.read_archives(directory).collect())
     assert got == [(-1, "response", -1, "two"), (-1, "response", -1, "two"), (-1, "revisit", 3, ""), (2, "revisit", 4, ""), (3, "response", -1, "one"), (4, "response", -1, "lone"), (4, "response", -1, "lone")]
+    far = (1 << 53) + 1  # an id that a float can't hold, beside nulls
+    directory = warc.archive(spark.createDataFrame([(far, None, "x"), (far - 2, None, "x"), (None, None, "y")], "page_id long, url string, html string"))
+    assert {(r["page_id"], r["refers_to"]) for r in warc.read_archives(directory).collect()} == {(far, None), (far - 2, far), (None, None)}
     # one URL in many blocks and index files
     many = spark.createDataFrame([(i, "http://hot/", f"p{i}") for i in range(300)], "page_id long, url string, html string")
     folder = directory.first()["file"].rsplit("/", 1)[0]
