@@ -48,6 +48,50 @@ def _joined(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in sorted(root)]
 
 
+def panel_groups(boxes: list[tuple], tol: float = TOLERANCE) -> list[tuple[list[int], str]]:
+    """(places of the panels, layout) of each figure of several panels, from the boxes of one page.
+
+    The rule of ``adjacency`` and ``figures`` for a page that one task holds. Equal boxes are one node, so that copies of a
+    panel cost nothing but their votes; nodes meet by the cell of the corner at which one begins and the other ends.
+    """
+    cell = max(tol, 1e-9) * 4
+    nodes: dict[tuple, list[int]] = {}
+    for at, box in enumerate(boxes):
+        if box[2] and None not in box:
+            nodes.setdefault(box, []).append(at)
+    if sum(map(len, nodes.values())) < 2:
+        return []
+    known = list(nodes)
+    corner: dict[tuple, list[int]] = {}
+    for n, (x, y, _, _) in enumerate(known):
+        corner.setdefault((x // cell, y // cell), []).append(n)
+    layouts: dict[tuple[int, int], str] = {}
+    for n, (x, y, w, h) in enumerate(known):
+        for to_x, to_y in ((x + w, y), (x, y + h)):
+            for a in {(to_x - cell / 2) // cell, (to_x + cell / 2) // cell}:
+                for b in {(to_y - cell / 2) // cell, (to_y + cell / 2) // cell}:
+                    for m in corner.get((a, b), ()):
+                        if (n != m or len(nodes[known[n]]) > 1) and (layout := _layout(known[n], known[m], tol)):
+                            layouts[min(n, m), max(n, m)] = layout
+    group, votes, members = dict(_joined(list(layouts))), {}, {}
+    for (n, m), layout in layouts.items():
+        a, b = len(nodes[known[n]]), len(nodes[known[m]])
+        votes.setdefault(group[n], [0, 0])[layout == "vertical"] += a * b if n != m else a * (a - 1) // 2
+    for n, g in group.items():
+        members.setdefault(g, []).extend(nodes[known[n]])
+    return [(sorted(places), "horizontal" if votes[g][0] > votes[g][1] else "vertical") for g, places in members.items()]
+
+
+def _layout(a: tuple, b: tuple, tol: float) -> str | None:
+    ax, ay, aw, ah = a
+    bx, by, bw, bh = b
+    if abs(ax - bx) <= tol and abs(ax + aw - (bx + bw)) <= tol and (abs(ay - (by + bh)) <= tol or abs(by - (ay + ah)) <= tol):
+        return "vertical"
+    if abs(ay - by) <= tol and abs(ay + ah - (by + bh)) <= tol and (abs(ax - (bx + bw)) <= tol or abs(bx - (ax + aw)) <= tol):
+        return "horizontal"
+    return None
+
+
 def _components(keys: list[str]):
     """Links sorted by page in, panels with their group and its votes out; only one page's links are held at a time."""
     columns = [*keys, "ord", "group_id", "_h", "_v"]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import TOLERANCE
-from ..operators.figures import figures, group_panels
+from ..operators.figures import BOX, panel_groups
 from .pdfdoc.document import MAX_FILE, Document
 from .pdfdoc.images import page_images, stitch
 from .pdfdoc.text import page_texts
@@ -92,35 +91,76 @@ def pdf_images(files: DataFrame) -> DataFrame:
     return _parts(files).mapInArrow(_images, IMAGES)
 
 
+def _whole_pages(batches: list[pa.RecordBatch], tol: float):
+    """Sorted rows of whole pages in; the figures of several panels as one row, all other rows as they came."""
+    table = pa.Table.from_batches(batches)
+    pages: dict[tuple, list[int]] = {}
+    met: dict[tuple, int] = {}
+    for i, image in enumerate(zip(*[table[c].to_pylist() for c in ("path", "page", "ord")], strict=True)):
+        # the rows of a file that is there twice are two pages, not one with twice the panels
+        met[image] = met.get(image, 0) + 1
+        pages.setdefault((*image[:2], met[image]), []).append(i)
+    boxes = list(zip(*[table[c].to_pylist() for c in BOX], strict=True))
+    parts: set[int] = set()
+    made = []
+    for rows in pages.values():
+        for group, layout in panel_groups([boxes[i] for i in rows], tol) if len(rows) > 1 else ():
+            members = [rows[i] for i in group]
+            row = _stitched([table.slice(i, 1).to_pylist()[0] for i in members], layout)
+            if row is not None:
+                made.append(row)
+                parts.update(members)
+    if parts:
+        table = table.filter(pa.array([i not in parts for i in range(len(table))]))
+    yield from table.to_batches()
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema=table.schema)
+
+
+def _stitched(panels: list[dict], layout: str) -> dict | None:
+    """One image of the panels of a figure; none if one of them can't be decoded."""
+    down = layout == "vertical"
+    panels = sorted(panels, key=lambda p: (-p["bbox_y"] if down else p["bbox_x"], p["ord"]))
+    try:
+        data = stitch([p["data"] for p in panels], layout)
+    except Exception:
+        return None
+    x, y = (min(p[c] for p in panels) for c in ("bbox_x", "bbox_y"))
+    w, h = (max(p[a] + p[b] for p in panels) for a, b in (("bbox_x", "bbox_w"), ("bbox_y", "bbox_h")))
+    wide, tall = (max, sum) if down else (sum, max)
+    size = {"width": wide(p["width"] for p in panels), "height": tall(p["height"] for p in panels)}
+    return panels[0] | size | {"name": "+".join(p["name"] for p in panels), "bpc": 8, "colorspace": "stitched", "filter": "stitched", "ext": "png", "data": data, "bbox_x": x, "bbox_y": y, "bbox_w": w - x, "bbox_h": h - y}
+
+
+def _stitching(tol: float):
+    def run(batches):
+        held, last = [], None  # the rows of the page that may go on in the next batch
+        for batch in batches:
+            at = list(zip(batch["path"].to_pylist(), batch["page"].to_pylist(), strict=True))
+            if not at:
+                continue
+            start = len(at) - 1
+            while start and at[start - 1] == at[-1]:
+                start -= 1
+            if start or at[0] != last:
+                if whole := [b for b in (*held, batch.slice(0, start)) if b.num_rows]:
+                    yield from _whole_pages(whole, tol)
+                held = []
+            held.append(batch.slice(start))
+            last = at[-1]
+        if held:
+            yield from _whole_pages(held, tol)
+
+    return run
+
+
 def stitched_images(images: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """Adjacent panels as one PNG each; groups with a panel that can't be decoded stay as they are.
 
-    The bytes stay out of the grouping: they join again by (path, page, ord).
+    ``images`` is read once: its rows meet by page, sorted, and a task holds one batch and one page at a time.
     """
-    good = images.where("error is null")
-    # read three times below: the boxes alone are kept, so that files are parsed twice at most
-    boxes = good.drop("data").persist()
-    keys = ["path", "page"]
-    groups = figures(boxes, keys, tol).where("n_parts > 1").select(*keys, "group_id", "layout", "stitched_name", F.col("bbox_x").alias("gx"), F.col("bbox_y").alias("gy"), F.col("bbox_w").alias("gw"), F.col("bbox_h").alias("gh"), F.col("width").alias("w"), F.col("height").alias("h"))
-    member = group_panels(boxes, keys, tol).select(*keys, "ord", "group_id")
-    whole = good.join(member, [*keys, "ord"]).join(groups, [*keys, "group_id"], "left")
-    single = whole.where("layout is null").select(*_COLUMNS)
-
-    def plain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.astype({c.split()[0]: object for c in IMAGES.split(", ") if c.split()[1] in ("string", "binary")})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        down = pdf["layout"].iloc[0] == "vertical"
-        pdf = pdf.sort_values(["bbox_y" if down else "bbox_x", "ord"], ascending=[not down, True], kind="stable")
-        first = pdf.iloc[0]
-        try:
-            data = stitch([bytes(x) for x in pdf["data"]], first["layout"])
-        except Exception:
-            return plain(pdf[_COLUMNS])
-        row = {c: first[c] for c in _COLUMNS} | {"name": first["stitched_name"], "width": first["w"], "height": first["h"], "bpc": 8, "colorspace": "stitched", "filter": "stitched", "ext": "png", "data": data, "bbox_x": first["gx"], "bbox_y": first["gy"], "bbox_w": first["gw"], "bbox_h": first["gh"]}
-        return plain(pd.DataFrame([row], columns=_COLUMNS))
-
-    return single.unionByName(whole.where("layout is not null").groupBy(*keys, "group_id").applyInPandas(run, IMAGES))
+    paged = images.where("error is null").select(*_COLUMNS).repartition("path", "page").sortWithinPartitions("path", "page", "ord")
+    return paged.mapInArrow(_stitching(tol), IMAGES)
 
 
 def image_manifest(images: DataFrame) -> DataFrame:

@@ -104,6 +104,29 @@ def test_adjacent_pairs_agree_with_all_pairs(spark):
     assert set(got) == want and len(got) == len(want) > 3
 
 
+def test_panel_groups_agree_with_figures(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(p, rnd.choice([0, 1.5, 10, 100, -3, 110]), rnd.choice([0, 50, 51, 100.5, -50, 102]), rnd.choice([100, 100, 0, 99]), rnd.choice([50, 51, 1])) for p in range(40) for _ in range(rnd.randrange(1, 9))]
+    want = {(r["page"], r["stitched_name"], r["layout"]) for r in figures.figures(boxes(spark, rows), ["page"]).where("n_parts > 1").collect()}
+    got = set()
+    for p in range(40):
+        own = [(i, r[1:]) for i, r in enumerate(rows) if r[0] == p]
+        for places, layout in figures.panel_groups([tuple(map(float, box)) for _, box in own]):
+            order = sorted((own[k] for k in places), key=lambda o: (-o[1][1] if layout == "vertical" else o[1][0], o[0]))
+            got.add((p, "+".join(f"Im{i}" for i, _ in order), layout))
+    assert got == want and {x[2] for x in want} == {"vertical", "horizontal"}
+
+
+def test_panel_groups_of_copies():
+    stack = [(31.0, 610.0 - 70 * (i % 3), 250.0, 70.0) for i in range(60_000)]
+    assert figures.panel_groups(stack) == [(list(range(60_000)), "vertical")]
+    thin, odd = (5.0, 5.0, 9.0, 1.0), float("nan")
+    assert figures.panel_groups([thin, thin]) == [([0, 1], "vertical")]
+    assert figures.panel_groups([(odd, 5.0, 9.0, 1.0), thin, (None, 5.0, 9.0, 1.0), (5.0, float("inf"), 9.0, 1.0), (5.0, 5.0, None, 1.0)]) == []
+
+
 # --- PDF ---
 
 
@@ -192,6 +215,32 @@ def test_hostile_files(spark, tmp_path):
     assert [(r["page"], r["ord"], r["file"]) for r in back] == [(2, 0, "a-p0002-Im0.png"), (2, 1, "a-p0002-Im1.png")]
 
 
+def test_stitching_reads_images_once(spark):
+    """One pass and no join: nothing to broadcast, no second parse, nothing left in the cache; pages go on across batches."""
+    from sagalog.plans.catalog import QUERIES
+
+    docs = spark.createDataFrame([(f"/{k}.pdf", samples.pdf_of(k, "x")) for k in [*range(1, 42), 10]], "path string, content binary")
+    jpeg = {"path": "/j", "page": 1, "width": 1, "height": 1, "bpc": 8, "colorspace": "DeviceRGB", "filter": "DCTDecode", "ext": "jpg", "data": b"\xff\xd8", "bbox_x": 1.0, "bbox_w": 9.0, "bbox_h": 9.0}
+    found = pdf_images(docs)
+    odd = [jpeg | {"ord": i, "name": f"Im{i}", "bbox_y": 1.0 + 9 * i} for i in range(2)]
+    found = found.unionByName(spark.createDataFrame([tuple(r.get(c) for c in found.columns) for r in odd], found.schema))
+    cached = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "3")
+        out = stitched_images(found)
+        rows = sorted((r["path"], r["name"], r["height"], r["ord"]) for r in out.collect())
+    finally:
+        spark.conf.set(size, before)
+    # the file that is there twice gives two figures; panels that can't be decoded stay apart
+    want = [(f"/{k}.pdf", "Im0+Im1", 4, 0) for k in (10, 10, 20, 30, 40)] + [(f"/{k}.pdf", f"Im{i}", 2, i) for k in range(1, 42) if k % 10 for i in (0, 1)]
+    assert rows == sorted(want + [("/j", "Im0", 1, 0), ("/j", "Im1", 1, 1)])
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == cached
+    plan = QUERIES["pdf_images"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "InMemoryTableScan" not in plan and plan.count("FileScan") == 1
+
+
 def test_manifest_refuses(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("file\tpage\n a\t1\n")
     (tmp_path / "y.tsv").write_text("file\tpage\tname\textra\n../a\t1\tIm0\tq\n")
